@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .language import identify_languages, learn_languages
+from .media import encode_media, media_digests
 from .packing import pack
+from .quality import learn_quality, score_quality
+from .shared import id_bucket
 from .token_counts import count_tokens
+from .url_reputation import Rule, judge_urls
 
 
 def vocabulary(name: str) -> str:
@@ -31,6 +36,99 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digests(pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    bucket = id_bucket("doc_id", 5)
+    model = learn_languages(docs, bucket != 0)
+    found, _ = identify_languages(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(bucket == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    bucket = id_bucket("doc_id", 4)
+    model = learn_quality(docs, read(spark, sf_dir, "labels"), bucket != 2)
+    scored = score_quality(docs, model)
+    return scored.select("doc_id", F.coalesce(bucket == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "nearest")
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(encode_media(read(spark, sf_dir, "documents")))
+
+
+#: Rules of the url query: host, path, verdict.
+URL_RULES = [
+    Rule("com", "/en/", "block"),
+    Rule("example.com", "/en/7", "allow"),
+    Rule("net", "/de/", "allow"),
+    Rule("example.net", "/de/8", "block"),
+    Rule("org", "/es/", "block"),
+]
+#: Runs of decoration that mark junk pages.
+JUNK_MARKS = r"[*]{3}|[$]{3}|[#]{3}|[%]{3}|!!"
+
+
+def junk_page(html: Column) -> Column:
+    """A page's outcome, from its markup: more than one junk mark to five spaces; null without markup."""
+    marks = F.regexp_count(html, F.lit(JUNK_MARKS))
+    return 5 * marks > F.length(html) - F.length(F.replace(html, F.lit(" "), F.lit("")))
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read(spark, sf_dir, "pages"), junk_page(F.col("html")), URL_RULES)
+
+
+def _level_sql(name: str, source: str, mean: str) -> str:
+    """SQL of one level's prior strength, as ``_overlap`` finds it."""
+    return f"""{name}_sums AS (
+      SELECT count(*) AS k, sum(n)::DOUBLE AS n, sum(n * n)::DOUBLE AS nn,
+        sum(n * pow(x / n - {mean}, 2)) AS s, sum(n * {mean} * (1 - {mean})) AS v FROM {source} WHERE n > 0),
+    {name}_overlap AS (
+      SELECT CASE WHEN coalesce(v, 0) = 0 THEN 0.0001 ELSE least(greatest(
+        CASE WHEN n - nn / n - (k - 1) > 0 THEN (s / (v / n) - (k - 1)) / (n - nn / n - (k - 1)) ELSE 0 END, 0.0001), 0.9999) END AS r FROM {name}_sums),
+    {name}_strength AS (SELECT (1 - r) / r AS w FROM {name}_overlap)"""
+
+
+OP9_SQL = f"""
+WITH cut AS (
+  SELECT page_id, html, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+raw AS (SELECT page_id, html, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM cut),
+urls AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path,
+    5 * len(regexp_extract_all(html, '{JUNK_MARKS}')) > length(html) - length(replace(html, ' ', '')) AS bad FROM raw),
+hosts AS (
+  SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad::INT), 0)::DOUBLE AS x, string_split(host, '.') AS parts FROM urls WHERE host <> '' GROUP BY host),
+named AS (
+  SELECT host, n, x, parts[-1] AS suffix, CASE WHEN len(parts) > 1 THEN parts[-2] || '.' || parts[-1] ELSE host END AS domain FROM hosts),
+suffixes AS (
+  SELECT suffix, sum(n) AS n, sum(x) AS x, (SELECT coalesce(sum(x) / nullif(sum(n), 0), 0) FROM named) AS base FROM named GROUP BY suffix),
+{_level_sql("suffix", "suffixes", "base")},
+suffix_means AS (SELECT suffix, (x + w * base) / (n + w) AS suffix_mean FROM suffixes, suffix_strength),
+domains AS (
+  SELECT d.*, suffix_mean FROM (SELECT suffix, domain, sum(n) AS n, sum(x) AS x FROM named GROUP BY ALL) d JOIN suffix_means USING (suffix)),
+{_level_sql("domain", "domains", "suffix_mean")},
+domain_means AS (SELECT domain, (x + w * suffix_mean) / (n + w) AS domain_mean FROM domains, domain_strength),
+host_means AS (SELECT host, n, x, domain_mean FROM named JOIN domain_means USING (domain)),
+{_level_sql("host", "host_means", "domain_mean")},
+shapes AS (SELECT host, x + w * domain_mean AS a, n - x + w * (1 - domain_mean) AS b FROM host_means, host_strength),
+blocked AS (SELECT host, a / (a + b) - 2 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5 AS blocked FROM shapes),
+ruled AS (
+  SELECT u.page_id, u.host, u.path, CASE
+    WHEN (u.host = 'example.net' OR u.host LIKE '%.example.net') AND starts_with(u.path, '/de/8') THEN 'example.net/de/8'
+    WHEN (u.host = 'example.com' OR u.host LIKE '%.example.com') AND starts_with(u.path, '/en/7') THEN 'example.com/en/7'
+    WHEN (u.host = 'com' OR u.host LIKE '%.com') AND starts_with(u.path, '/en/') THEN 'com/en/'
+    WHEN (u.host = 'net' OR u.host LIKE '%.net') AND starts_with(u.path, '/de/') THEN 'net/de/'
+    WHEN (u.host = 'org' OR u.host LIKE '%.org') AND starts_with(u.path, '/es/') THEN 'org/es/' END AS rule,
+    coalesce(b.blocked, false) AS blocked
+  FROM urls u LEFT JOIN blocked b USING (host))
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = count_tokens(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
@@ -38,7 +136,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op3_language": op3_language,
+    "op4_quality": op4_quality,
+    "op7_media": op7_media,
+    "op9_url_filters": op9_url_filters,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_url_filters": OP9_SQL,
+}
