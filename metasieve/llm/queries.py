@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .language import identify_languages, learn_languages
 from .media import encode_media, media_digests
+from .ngram_join import jaccard_components
 from .packing import pack
 from .quality import learn_quality, score_quality
 from .shared import id_bucket
@@ -52,6 +53,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(bucket == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "nearest")
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(encode_media(read(spark, sf_dir, "documents")))
 
@@ -138,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_language": op3_language,
     "op4_quality": op4_quality,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op7_media": op7_media,
     "op9_url_filters": op9_url_filters,
     "op10_token_counts": op10_token_counts,
