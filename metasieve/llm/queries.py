@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .language import identify_languages, learn_languages
+from .line_dedup import dedup_lines
 from .media import encode_media, media_digests
 from .ngram_join import jaccard_components
 from .packing import pack
@@ -15,6 +16,7 @@ from .quality import learn_quality, score_quality
 from .shared import id_bucket
 from .token_counts import count_tokens
 from .url_reputation import Rule, judge_urls
+from .vector_join import near_vectors
 
 
 def vocabulary(name: str) -> str:
@@ -57,10 +59,61 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+    AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM least LEFT JOIN counts USING (vec_id)
+"""
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(encode_media(read(spark, sf_dir, "documents")))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, names = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", names["n_lines"], names["n_removed"])
+
+
+OP8_SQL = """
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line
+  FROM documents WHERE text IS NOT NULL),
+full_lines AS (
+  SELECT doc_id, pos, trim(line, ' ') AS line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS p
+  FROM lines WHERE trim(line, ' ') <> ''),
+windows AS (
+  SELECT doc_id, p, line AS l1, lead(line, 1) OVER w AS l2, lead(line, 2) OVER w AS l3
+  FROM full_lines WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+later AS (
+  SELECT doc_id, p FROM (
+    SELECT doc_id, p, row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY doc_id, p) AS nth FROM windows WHERE l3 IS NOT NULL)
+  WHERE nth > 1),
+covered AS (SELECT DISTINCT doc_id, p + unnest([0, 1, 2]) AS p FROM later),
+marked AS (
+  SELECT l.doc_id, l.pos, l.line, f.p IS NOT NULL AS is_full, c.p IS NOT NULL AS goes
+  FROM lines l LEFT JOIN full_lines f ON l.doc_id = f.doc_id AND l.pos = f.pos LEFT JOIN covered c ON f.doc_id = c.doc_id AND f.p = c.p),
+texts AS (
+  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT goes), '') AS text,
+    count(*) FILTER (is_full)::INT AS n_lines, count(*) FILTER (goes)::INT AS n_removed FROM marked GROUP BY doc_id)
+SELECT d.doc_id, t.text, coalesce(t.n_lines, 0) AS n_lines, coalesce(t.n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN texts t USING (doc_id)
+"""
+
+
 #: Rules of the url query: host, path, verdict.
 URL_RULES = [
     Rule("com", "/en/", "block"),
@@ -144,11 +197,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op4_quality": op4_quality,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_media": op7_media,
+    "op8_line_dedup": op8_line_dedup,
     "op9_url_filters": op9_url_filters,
     "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_embedding_dedup": OP6_SQL,
+    "op8_line_dedup": OP8_SQL,
     "op9_url_filters": OP9_SQL,
 }
