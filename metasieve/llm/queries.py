@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .language import identify_languages, learn_languages
 from .line_dedup import dedup_lines
 from .media import encode_media, media_digests
+from .mixing import mix_sources
 from .ngram_join import jaccard_components
 from .packing import pack
 from .quality import learn_quality, score_quality
@@ -35,6 +36,54 @@ def packed_digests(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, names = mix_sources(read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    return out.select("doc_id", "source", "lang", names["topic"], names["n_tokens"], F.round(names["probability"], 6).alias("probability"))
+
+
+def _raking_sql(rounds: int) -> tuple[str, str]:
+    """SQL that scales the weights of ``r0`` to each goal in turn, and the name of the last step."""
+    steps, last = [], "r0"
+    for k in range(rounds):
+        for d in ("source", "lang", "topic"):
+            step = f"r{k}_{d}"
+            held = f"sum(weight) OVER (PARTITION BY {d})"
+            steps.append(f"{step} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN {held} > 0 THEN weight * goal_{d} / {held} ELSE 0 END AS weight) FROM {last})")
+            last = step
+    return ",\n".join(steps), last
+
+
+def _op1_sql() -> str:
+    steps, last = _raking_sql(12)
+    goals = ", ".join(f"pow(sum(tokens) OVER (PARTITION BY {d}), 0.7) / (SELECT sum(p) FROM (SELECT pow(sum(tokens), 0.7) AS p FROM cells GROUP BY {d})) AS goal_{d}" for d in ("source", "lang", "topic"))
+    return f"""
+WITH docs AS (
+  SELECT doc_id, source, lang, coalesce(source, '(none)') AS s, coalesce(lang, '(none)') AS l,
+    greatest(len(regexp_extract_all(coalesce(text, ''), '\\S+')), 1)::BIGINT AS n_tokens, CASE
+      WHEN 10 * (length(coalesce(text, '')) - length(replace(coalesce(text, ''), '|', ''))) > len(regexp_extract_all(coalesce(text, ''), '\\S+')) THEN 'table'
+      WHEN lower(coalesce(text, '')) LIKE '%license%' OR lower(coalesce(text, '')) LIKE '%rights reserved%' THEN 'legal'
+      WHEN length(coalesce(text, '')) < 600 THEN 'brief' WHEN length(coalesce(text, '')) < 6000 THEN 'article' ELSE 'long' END AS topic,
+    ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, md5(text), '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS draw
+  FROM documents),
+cells AS (SELECT s AS source, l AS lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM docs GROUP BY ALL),
+r0 AS MATERIALIZED (SELECT *, {goals}, tokens / sum(tokens) OVER () AS weight FROM cells),
+{steps},
+rates AS (SELECT *, weight / tokens AS rate FROM {last}),
+factors AS (
+  SELECT *, row_number() OVER falling AS nth,
+    (0.7 * sum(tokens) OVER () - coalesce(sum(tokens) OVER (falling ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(weight) OVER (falling ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS factor
+  FROM rates WINDOW falling AS (ORDER BY rate DESC, source, lang, topic)),
+chosen AS (SELECT arg_min(factor, nth) AS factor FROM factors WHERE factor * rate <= 1),
+chances AS (SELECT f.source, f.lang, f.topic, least(1, coalesce(c.factor * rate, 1)) AS p FROM factors f, chosen c)
+SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(p, 6) AS probability
+FROM docs d JOIN chances c ON d.s = c.source AND d.l = c.lang AND d.topic = c.topic WHERE draw < p
+"""
+
+
+OP1_SQL = _op1_sql()
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digests(pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
@@ -193,6 +242,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
     "op3_language": op3_language,
     "op4_quality": op4_quality,
@@ -205,6 +255,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": OP1_SQL,
     "op6_embedding_dedup": OP6_SQL,
     "op8_line_dedup": OP8_SQL,
     "op9_url_filters": OP9_SQL,
