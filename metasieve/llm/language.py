@@ -104,33 +104,71 @@ def fit_language_model(texts: list[str], langs: list[str], switch_penalty: float
     return LanguageModel(languages, {g: i for i, g in enumerate(kept)}, np.maximum(scores, -_WORST), scripts, switch_penalty)
 
 
+_SLOTS = 20
+
+
+def _slots(codes: np.ndarray) -> np.ndarray:
+    """A slot for each run of three code points."""
+    c = codes.astype(np.uint32)
+    h = c[:-2] * np.uint32(0x9E3779B1) + c[1:-1] * np.uint32(0x85EBCA6B) + c[2:] * np.uint32(0xC2B2AE35)
+    return (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(32 - _SLOTS)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 class _Words(dict):
-    """Rows of tokens in a table of scores; a token not met before gets one."""
+    """Rows of tokens in a table of scores; rows of tokens not met before are filled by :meth:`fill`."""
 
     def __init__(self, model: LanguageModel):
-        self.model, k = model, len(model.languages)
-        self.scores, self.weight = np.zeros((4096, k)), np.zeros(4096, np.int64)
-        self.none = np.zeros(k)
+        self.model, self.k = model, len(model.languages)
+        self.scores, self.weight = np.zeros((4096, self.k)), np.zeros(4096, np.int64)
+        self.pending: list[str] = []
+        # row 0 stands for n-grams not learned; of n-grams in one slot the last learned counts
+        self.grams = np.concatenate([np.zeros((1, self.k)), model.gram_scores])
+        self.slots = np.zeros(1 << _SLOTS, np.int32)
+        for g, row in model.gram_rows.items():
+            self.slots[_slots(_codes(g))] = row + 1
+        names = sorted({s for _, s in SCRIPT_RANGES})
+        self.script_at = np.array([names.index(s) for _, s in SCRIPT_RANGES])
+        self.allowed = np.ones((len(names), self.k), bool)
+        for s, languages in model.scripts.items():
+            if languages.any():
+                self.allowed[names.index(s)] = languages
 
     def __missing__(self, token: str) -> int:
-        at = len(self)
-        if at == len(self.weight):
+        self[token] = at = len(self)
+        self.pending.append(letters_of(token))
+        return at
+
+    def fill(self) -> None:
+        """Scores of the tokens met since the last call, all at once."""
+        if not self.pending:
+            return
+        end = len(self)
+        while end > len(self.weight):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.weight = np.concatenate([self.weight, np.zeros_like(self.weight)])
-        word, m = letters_of(token), self.model
-        score = self.none
-        if word and m.languages:
-            known = m.gram_rows
-            found = [known[g] for g in grams(word) if g in known]
-            if found:
-                score = m.gram_scores[found].sum(0)
-            allowed = m.scripts.get(script_of(word[0]))
-            if allowed is not None and not allowed.all() and allowed.any():
-                score = np.where(allowed, score, score.min() - _WORST)
-            score = np.maximum(score - max(score.tolist()), -_WORST)
-        self.scores[at], self.weight[at] = score, len(word)
-        self[token] = at
-        return at
+        lengths = np.array([len(w) for w in self.pending], np.int64)
+        codes = _codes("<" + "><".join(self.pending) + ">")
+        starts = np.concatenate(([0], np.cumsum(lengths[:-1] + 2)))
+        found = self.grams[self.slots[_slots(codes)]] if len(codes) > 2 else np.zeros((0, self.k))
+        # the runs that begin at a word's last letter or at its end reach into the next word
+        ends = starts + lengths
+        found[np.concatenate((ends[ends < len(found)], ends[ends + 1 < len(found)] + 1))] = 0
+        score = np.add.reduceat(found, np.minimum(starts, max(len(found) - 1, 0)), axis=0) if len(found) else np.zeros((len(lengths), self.k))
+        script = self.script_at[np.searchsorted(_STARTS, codes[starts + 1], "right") - 1]
+        score = np.where(self.allowed[script], score, score.min(1, keepdims=True, initial=0.0) - _WORST)
+        score = np.maximum(score - score.max(1, keepdims=True, initial=-np.inf), -_WORST)
+        score[lengths == 0] = 0
+        at = slice(end - len(lengths), end)
+        self.scores[at], self.weight[at] = score, lengths
+        self.pending.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.pending.clear()
 
 
 class Labeller:
@@ -140,41 +178,54 @@ class Labeller:
         self.model, self.most_kept = model, most_kept
         self.words = _Words(model)
 
-    def label(self, text: str | None) -> tuple[str, float, list[tuple[str, int, int]]]:
-        """Language, confidence from 0 to 1, and spans (language, first word, end) of a text."""
-        tokens = (text or "").split()
+    def label_all(self, texts: list[str | None]) -> Iterator[tuple[str, float, list[tuple[str, int, int]]]]:
+        """Language, confidence from 0 to 1, and spans (language, first word, end) of each text."""
         words = self.words
-        if len(words) > self.most_kept:
-            words.clear()
-        rows = np.array(list(map(words.__getitem__, tokens)), np.int64)
-        weight = words.weight[rows]
+        for lo in range(0, len(texts), 128):
+            if len(words) > self.most_kept:
+                words.clear()
+            rows = [np.array(list(map(words.__getitem__, (t or "").split())), np.int64) for t in texts[lo : lo + 128]]
+            words.fill()
+            yield from map(self._label, rows)
+
+    def _label(self, rows: np.ndarray) -> tuple[str, float, list[tuple[str, int, int]]]:
+        weight = self.words.weight[rows]
         if not self.model.languages or not weight.any():
             return UNDETERMINED, 0.0, []
-        scores = words.scores[rows]
+        scores = self.words.scores[rows]
         path = self._path(scores)
-        held = np.bincount(path, weight, len(self.model.languages))
-        best = int(np.argmax(held))
-        margin = scores[path == best].sum(0)
-        rival = np.delete(margin, best).max() if len(margin) > 1 else -np.inf
-        share = held[best] / held.sum()
-        score = float(share / (1 + math.exp(min(rival - margin[best], 50.0))))
-        cuts = np.flatnonzero(np.diff(path)) + 1
-        ends = [0, *cuts.tolist(), len(path)]
-        return self.model.languages[best], score, [(self.model.languages[path[a]], a, b) for a, b in zip(ends, ends[1:], strict=False)]
-
-    def _path(self, s: np.ndarray) -> np.ndarray:
-        """Viterbi labels of words with scores ``s``.
+        if path is None:
+            total = scores.sum(0)
+            best, share, spans = int(total.argmax()), 1.0, None
+            margin = total
+        else:
+            held = np.bincount(path, weight, len(self.model.languages))
+            best = int(np.argmax(held))
+            margin, share = scores[path == best].sum(0), held[best] / held.sum()
+            cuts = np.flatnonzero(np.diff(path)) + 1
+            ends = [0, *cuts.tolist(), len(path)]
+            spans = [(self.model.languages[path[a]], a, b) for a, b in zip(ends, ends[1:], strict=False)]
+        rivals = margin.tolist()
+        own = rivals.pop(best)
+        score = float(share / (1 + math.exp(min(max(rivals) - own, 50.0)))) if rivals else float(share)
+        return self.model.languages[best], score, spans or [(self.model.languages[best], 0, len(rows))]
+
+    def _path(self, s: np.ndarray) -> np.ndarray | None:
+        """Viterbi labels of words with scores ``s``; None for one language throughout.
 
         One language throughout is the best path if no run of words gains as
-        much as one switch costs in any other language; else all steps are done.
+        much as one switch costs in any other language, nor do all words in the
+        best of the others; else all steps are done.
         """
         n, k = s.shape
         one = int(np.argmax(s.sum(0)))
-        gain = np.cumsum(s - s[:, one : one + 1], axis=0)
-        low = np.minimum.accumulate(np.vstack([np.zeros((1, k)), gain[:-1]]), axis=0)
+        gain, over = np.zeros((n + 1, k)), s - s[:, one : one + 1]
+        np.cumsum(over, axis=0, out=gain[1:])
         penalty = self.model.switch_penalty
-        if (gain - low).max() < penalty:
-            return np.full(n, one, np.int64)
+        if (gain - np.minimum.accumulate(gain, axis=0)).max() < penalty:
+            over[:, one] = -np.inf
+            if over.max(1).sum() < penalty:
+                return None
         rows = s.tolist()
         best, came = rows[0], []
         for row in rows[1:]:
@@ -230,7 +281,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value)
         for b in batches:
-            found = [labeller.label(t.as_py()) for t in b.column(b.num_columns - 1)]
+            found = list(labeller.label_all(b.column(b.num_columns - 1).to_pylist()))
             spans = [[{"lang": g, "first_word": x, "end_word": y} for g, x, y in s] for _, _, s in found]
             added = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(spans, span_type)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *added], names=[*b.schema.names[:-1], *names.values()])
