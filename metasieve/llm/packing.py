@@ -46,19 +46,15 @@ class Packer:
     def _place(self, piece: tuple, size: int) -> Iterator[list]:
         """Puts a piece where the squares grow least; of equals, into the fullest window."""
         n, room = self.counts, self.capacity - size
-        # from level h to h + size the squares grow by 2 (n[h + size] - n[h]) + 2; a full window leaves the count
-        grow = n[size:].copy()
-        grow[room] = -1
-        grow[1:] -= n[1 : room + 1]
         used = n[: room + 1] > 0
         used[0] = True
-        # a new window (level 0) lowers no count: 2 n[size] + 1
-        cost = np.where(used, 2 * grow + 2, np.iinfo(np.int64).max)
-        cost[0] -= 1
-        if room == 0:
-            yield [piece]
-            return
-        cost[room] = min(cost[room], 1 - 2 * n[room]) if used[room] else cost[room]
+        # from level h to h + size the squares grow by 2 (n[h + size] - n[h]) + 2
+        grow = 2 * n[size:] + 2
+        grow[1:] -= 2 * n[1 : room + 1]
+        # a window that is new lowers no count, one that gets full raises none
+        grow[0] = 2 * n[size] + 1
+        grow[room] = 1 - 2 * n[room]
+        cost = np.where(used, grow, np.iinfo(np.int64).max)
         level = room - int(np.argmin(cost[::-1]))
         if level:
             window = self.open[level].pop()
