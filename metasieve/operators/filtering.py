@@ -96,12 +96,11 @@ def _condition(c: Condition, layout: Layout, options: FilterMatchOptions) -> Col
     elif isinstance(layout, Flat):
         truth = _flat_in(layout, c.key, c.values, lossy) if len(c.values) > 1 else any_of(*[_flat_holds(op, layout, c.key, v, lossy) for v in c.values])
     else:
-        e = layout.entry(c.key)
-        truth = any_of(*[_bag_holds(op, e, v, lossy) for v in c.values])
-        # lanes of other types are null: no comparison with them holds
-        truth = truth if isinstance(truth, bool) else F.coalesce(truth, F.lit(False))
+        # the entry is looked up once; lanes of other types, and absent entries, are null: no comparison with them holds
+        found = F.transform(F.array(layout.entry(c.key)), lambda e: _column(any_of(*[_bag_holds(op, e, v, lossy) for v in c.values])))
+        truth = F.coalesce(F.element_at(found, 1), F.lit(False))
     if c.op not in ("ne", "not_in"):
-        return _column(all_of(present, truth))
+        return _column(truth if isinstance(layout, Bag) else all_of(present, truth))
     other = _column(truth) if isinstance(truth, bool) else truth
     if options.missing_key_policy == MissingKeyPolicy.MATCH:
         return ~present | ~other

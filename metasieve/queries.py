@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import bag
@@ -255,46 +255,49 @@ def _props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PROPS_SQL = "(SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"
-M = F.col("bag")
+
+def the_bag() -> Column:
+    return F.col("bag")
+
 
 
 def _bag_query(name: str, source: Callable, columns: Callable[[], list], sql: str) -> None:
     register(name, sql)(lambda spark, sf_dir: source(spark, sf_dir).select(*columns()))
 
 
-_bag_query("get_typed", _props, lambda: ["event_id", bag.get(M, "k", D.INT64).alias("k"), bag.get(M, "k", D.FLOAT64).alias("as_double"), bag.get(M, "kind", D.INT64).isNull().alias("none")], f"SELECT event_id, k, k::DOUBLE AS as_double, true AS none FROM {PROPS_SQL}")
+_bag_query("get_typed", _props, lambda: ["event_id", bag.get(the_bag(), "k", D.INT64).alias("k"), bag.get(the_bag(), "k", D.FLOAT64).alias("as_double"), bag.get(the_bag(), "kind", D.INT64).isNull().alias("none")], f"SELECT event_id, k, k::DOUBLE AS as_double, true AS none FROM {PROPS_SQL}")
 
 
 def _statuses() -> list:
-    got = {n: bag.try_get(M, k, D.INT64) for n, k in (("k", "k"), ("kind", "kind"), ("nokey", "absent"))}
+    got = {n: bag.try_get(the_bag(), k, D.INT64) for n, k in (("k", "k"), ("kind", "kind"), ("nokey", "absent"))}
     return ["event_id", got["k"]["value"].alias("value"), *[F.coalesce(g["error"]["code"], F.lit("ok")).alias(f"{n}_status") for n, g in got.items()], got["nokey"]["error"]["message"].alias("message")]
 
 
 _bag_query("try_get_status", _props, _statuses, f"SELECT event_id, k AS value, 'ok' AS k_status, 'TypeMismatch' AS kind_status, 'MissingKey' AS nokey_status, 'Metadata key not found: absent' AS message FROM {PROPS_SQL}")
-_bag_query("get_or_default", labelled_bag, lambda: ["doc_id", bag.get_or(M, "quality", -1).alias("quality"), bag.get_or(M, "lang", -1).alias("lang_number")], f"SELECT doc_id, coalesce(quality, -1)::BIGINT AS quality, -1::BIGINT AS lang_number FROM {LABELLED_SQL}")
-_bag_query("data_type_tag", labelled_bag, lambda: ["doc_id", bag.data_type(M, "n_chars").alias("a"), bag.data_type(M, "quality").alias("b"), bag.data_type(M, "lang").alias("c")], f"SELECT doc_id, 'int64' AS a, CASE WHEN quality IS NOT NULL THEN 'int32' END AS b, 'string' AS c FROM {LABELLED_SQL}")
-_bag_query("bag_len", labelled_bag, lambda: ["doc_id", bag.length(M).alias("n"), bag.is_empty(M).alias("empty"), bag.contains_key(M, "toxic").alias("has")], f"SELECT doc_id, CASE WHEN quality IS NULL THEN 2 ELSE 4 END AS n, false AS empty, toxic IS NOT NULL AS has FROM {LABELLED_SQL}")
-_bag_query("bag_keys_sorted", labelled_bag, lambda: ["doc_id", F.concat_ws(",", bag.keys(M)).alias("keys")], f"SELECT doc_id, CASE WHEN quality IS NULL THEN 'lang,n_chars' ELSE 'lang,n_chars,quality,toxic' END AS keys FROM {LABELLED_SQL}")
-_bag_query("bag_values", labelled_bag, lambda: ["doc_id", F.concat_ws(",", F.transform(bag.values(M), lambda e: F.coalesce(e["s"], e["i"].cast("string")))).alias("vals")], f"SELECT doc_id, concat_ws(',', lang, n_chars, quality, toxic) AS vals FROM {LABELLED_SQL}")
+_bag_query("get_or_default", labelled_bag, lambda: ["doc_id", bag.get_or(the_bag(), "quality", -1).alias("quality"), bag.get_or(the_bag(), "lang", -1).alias("lang_number")], f"SELECT doc_id, coalesce(quality, -1)::BIGINT AS quality, -1::BIGINT AS lang_number FROM {LABELLED_SQL}")
+_bag_query("data_type_tag", labelled_bag, lambda: ["doc_id", bag.data_type(the_bag(), "n_chars").alias("a"), bag.data_type(the_bag(), "quality").alias("b"), bag.data_type(the_bag(), "lang").alias("c")], f"SELECT doc_id, 'int64' AS a, CASE WHEN quality IS NOT NULL THEN 'int32' END AS b, 'string' AS c FROM {LABELLED_SQL}")
+_bag_query("bag_len", labelled_bag, lambda: ["doc_id", bag.length(the_bag()).alias("n"), bag.is_empty(the_bag()).alias("empty"), bag.contains_key(the_bag(), "toxic").alias("has")], f"SELECT doc_id, CASE WHEN quality IS NULL THEN 2 ELSE 4 END AS n, false AS empty, toxic IS NOT NULL AS has FROM {LABELLED_SQL}")
+_bag_query("bag_keys_sorted", labelled_bag, lambda: ["doc_id", F.concat_ws(",", bag.keys(the_bag())).alias("keys")], f"SELECT doc_id, CASE WHEN quality IS NULL THEN 'lang,n_chars' ELSE 'lang,n_chars,quality,toxic' END AS keys FROM {LABELLED_SQL}")
+_bag_query("bag_values", labelled_bag, lambda: ["doc_id", F.concat_ws(",", F.transform(bag.values(the_bag()), lambda e: F.coalesce(e["s"], e["i"].cast("string")))).alias("vals")], f"SELECT doc_id, concat_ws(',', lang, n_chars, quality, toxic) AS vals FROM {LABELLED_SQL}")
 
 
 def _set() -> list:
-    m = bag.set_value(bag.set_value(M, "quality", 9), "new", "x")
-    return ["doc_id", bag.get(m, "quality", D.INT64).alias("q"), bag.get(m, "new", D.STRING).alias("new"), bag.length(m).alias("n"), F.coalesce(bag.get(M, "quality", D.INT64), F.lit(-1)).alias("old")]
+    m = bag.set_value(bag.set_value(the_bag(), "quality", 9), "new", "x")
+    return ["doc_id", bag.get(m, "quality", D.INT64).alias("q"), bag.get(m, "new", D.STRING).alias("new"), bag.length(m).alias("n"), F.coalesce(bag.get(the_bag(), "quality", D.INT64), F.lit(-1)).alias("old")]
 
 
 _bag_query("bag_set", labelled_bag, _set, f"SELECT doc_id, 9::BIGINT AS q, 'x' AS new, CASE WHEN quality IS NULL THEN 4 ELSE 5 END AS n, coalesce(quality, -1)::BIGINT AS old FROM {LABELLED_SQL}")
-_bag_query("bag_remove", labelled_bag, lambda: ["doc_id", bag.length(bag.remove(M, "lang")).alias("n"), bag.length(bag.clear(M)).alias("cleared"), bag.length(bag.set_raw(M, "x", bag.get_raw(M, "lang"))).alias("more")], f"SELECT doc_id, CASE WHEN quality IS NULL THEN 1 ELSE 3 END AS n, 0 AS cleared, CASE WHEN quality IS NULL THEN 3 ELSE 5 END AS more FROM {LABELLED_SQL}")
+_bag_query("bag_remove", labelled_bag, lambda: ["doc_id", bag.length(bag.remove(the_bag(), "lang")).alias("n"), bag.length(bag.clear(the_bag())).alias("cleared"), bag.length(bag.set_raw(the_bag(), "x", bag.get_raw(the_bag(), "lang"))).alias("more")], f"SELECT doc_id, CASE WHEN quality IS NULL THEN 1 ELSE 3 END AS n, 0 AS cleared, CASE WHEN quality IS NULL THEN 3 ELSE 5 END AS more FROM {LABELLED_SQL}")
 
 
 def _merge() -> list:
     other = bag.bag_of({"lang": bag.literal_entry("xx"), "extra": bag.literal_entry(1.5)})
-    m = bag.merge(M, other)
-    return ["doc_id", bag.get(m, "lang", D.STRING).alias("lang"), bag.get(m, "extra", D.FLOAT64).alias("extra"), bag.length(m).alias("n"), bag.equal(bag.merge(other, M), M).alias("same")]
+    m = bag.merge(the_bag(), other)
+    return ["doc_id", bag.get(m, "lang", D.STRING).alias("lang"), bag.get(m, "extra", D.FLOAT64).alias("extra"), bag.length(m).alias("n"), bag.equal(bag.merge(other, the_bag()), the_bag()).alias("same")]
 
 
 _bag_query("bag_merge", labelled_bag, _merge, f"SELECT doc_id, 'xx' AS lang, 1.5::DOUBLE AS extra, CASE WHEN quality IS NULL THEN 3 ELSE 5 END AS n, false AS same FROM {LABELLED_SQL}")
-_bag_query("bag_retain", labelled_bag, lambda: ["doc_id", F.concat_ws(",", bag.keys(bag.retain(M, lambda k, e: e["i"] > 0))).alias("kept")], f"SELECT doc_id, concat_ws(',', CASE WHEN n_chars > 0 THEN 'n_chars' END, CASE WHEN quality > 0 THEN 'quality' END, CASE WHEN toxic > 0 THEN 'toxic' END) AS kept FROM {LABELLED_SQL}")
+_bag_query("bag_retain", labelled_bag, lambda: ["doc_id", F.concat_ws(",", bag.keys(bag.retain(the_bag(), lambda k, e: e["i"] > 0))).alias("kept")], f"SELECT doc_id, concat_ws(',', CASE WHEN n_chars > 0 THEN 'n_chars' END, CASE WHEN quality > 0 THEN 'quality' END, CASE WHEN toxic > 0 THEN 'toxic' END) AS kept FROM {LABELLED_SQL}")
 
 
 @register("bag_iter", f"""SELECT doc_id, pos, key, val FROM (SELECT doc_id, unnest(CASE WHEN quality IS NULL THEN [0, 1] ELSE [0, 1, 2, 3] END) AS pos,
@@ -308,7 +311,7 @@ def _bag_iter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("bag_from_rows", f"SELECT doc_id, CASE WHEN quality IS NULL THEN 2 ELSE 4 END AS n, coalesce(quality, -1)::BIGINT AS quality FROM {LABELLED_SQL}")
 def _bag_from_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows_of_bag(labelled_bag(spark, sf_dir), "doc_id", "bag")
-    return bags_of_rows(rows, "doc_id", "pos").select("doc_id", bag.length(M).alias("n"), F.coalesce(bag.get(M, "quality", D.INT64), F.lit(-1)).alias("quality"))
+    return bags_of_rows(rows, "doc_id", "pos").select("doc_id", bag.length(the_bag()).alias("n"), F.coalesce(bag.get(the_bag(), "quality", D.INT64), F.lit(-1)).alias("quality"))
 
 
 @register("bag_overlay", "SELECT doc_id, lang, coalesce(quality, -1) AS quality FROM (SELECT doc_id, lang FROM documents) FULL JOIN (SELECT doc_id, quality::BIGINT AS quality FROM labels) USING (doc_id)")
@@ -316,11 +319,11 @@ def _bag_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     a = docs.select("doc_id", bag_from_columns(docs, ["lang"]).alias("bag"))
     b = labels.select("doc_id", bag_from_columns(labels, ["quality"]).alias("bag"))
-    return overlay(a, b, "doc_id", "bag").select("doc_id", bag.get(M, "lang", D.STRING).alias("lang"), F.coalesce(bag.get(M, "quality", D.INT64), F.lit(-1)).alias("quality"))
+    return overlay(a, b, "doc_id", "bag").select("doc_id", bag.get(the_bag(), "lang", D.STRING).alias("lang"), F.coalesce(bag.get(the_bag(), "quality", D.INT64), F.lit(-1)).alias("quality"))
 
 
-_bag_query("record_to_json", labelled_bag, lambda: ["doc_id", bag_to_json(M).alias("js")], f"""SELECT doc_id, '{{"lang":{{"String":"' || lang || '"}},"n_chars":{{"Int64":' || n_chars || '}}' || CASE WHEN quality IS NULL THEN '' ELSE ',"quality":{{"Int32":' || quality || '}},"toxic":{{"Int32":' || toxic || '}}' END || '}}' AS js FROM {LABELLED_SQL}""")
-_bag_query("record_json_roundtrip", labelled_bag, lambda: ["doc_id", bag.equal(bag_from_json(bag_to_json(M)), M).alias("same")], "SELECT doc_id, true AS same FROM documents")
+_bag_query("record_to_json", labelled_bag, lambda: ["doc_id", bag_to_json(the_bag()).alias("js")], f"""SELECT doc_id, '{{"lang":{{"String":"' || lang || '"}},"n_chars":{{"Int64":' || n_chars || '}}' || CASE WHEN quality IS NULL THEN '' ELSE ',"quality":{{"Int32":' || quality || '}},"toxic":{{"Int32":' || toxic || '}}' END || '}}' AS js FROM {LABELLED_SQL}""")
+_bag_query("record_json_roundtrip", labelled_bag, lambda: ["doc_id", bag.equal(bag_from_json(bag_to_json(the_bag())), the_bag()).alias("same")], "SELECT doc_id, true AS same FROM documents")
 
 
 @register("columns_from_bag", f"SELECT doc_id, lang, n_chars, true AS other_type FROM {LABELLED_SQL}")

@@ -17,7 +17,7 @@ def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[*]").appName("tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.default.parallelism", "4")
-        .config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
+        .config("spark.ui.enabled", "false").config("spark.driver.memory", "4g").config("spark.sql.maxMetadataStringLength", "2000")
         .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", f"file://{shared}")
         .getOrCreate()
     )
