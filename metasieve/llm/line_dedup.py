@@ -13,7 +13,7 @@ WINDOW = 3
 
 def _lines(text: Column) -> Column:
     """Lines of a text, without spaces at their ends, that are not blank."""
-    return F.filter(F.transform(F.split(text, "\n", -1), F.trim), lambda line: line != "")
+    return F.filter(F.transform(F.split(text, "\n", -1), lambda line: F.trim(line)), lambda line: line != "")
 
 
 def _windows(lines: Column) -> Column:
