@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import discard, stored
+from .shared import discard, release, stored
 
 #: Buckets of the n-gram count table, and buckets in one row of it.
 BUCKETS, CHUNK = 1 << 22, 1 << 16
@@ -181,29 +181,54 @@ def frequency_ranks(texts: DataFrame, n: int) -> np.ndarray:
 
 # --- 2: sets, digests and prefixes -------------------------------------------
 
-KEYS = ["h1", "h2"]
-_PAIR = ["x_h1", "x_h2", "y_h1", "y_h2"]
+_PAIR = ["x", "y"]
 
 
-def _prefixing(n: int, percent: int, ranks, with_tokens: bool):
-    """Rows of documents: id, size, digest, and the prefix or all tokens."""
+def _rows_of(n: int, ranks):
+    """What is common to the passes over texts: for slices of a batch, sizes, digests and sorted tokens."""
+    shingler, rank = Shingler(n), ranks.value
+
+    def run(texts: pa.Array) -> tuple[list[int], list[tuple[int, int]], list[np.ndarray]]:
+        sets = [shingler.shingles(t.as_py()) for t in texts]
+        return [len(s) for s in sets], [set_digest(s) for s in sets], [tokens_of(s, rank) for s in sets]
+
+    return run
+
+
+def _lists(tokens: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64), pa.int64()))
+
+
+def _prefixing(n: int, percent: int, ranks):
+    """Documents ``id, text`` to ``id, n, h1, h2`` and the prefix of their tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _rows_of(n, ranks)
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                sizes, digests, tokens = rows(part.column(1))
+                prefixes = [t[: prefix_length(k, percent)] if k else t for k, t in zip(sizes, tokens, strict=True)]
+                halves = [pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), *halves, _lists(prefixes)], names=["id", "n", "h1", "h2", "tokens"])
+
+    return run
+
+
+def _collecting(n: int, ranks):
+    """Rows ``text, cls, h1, h2`` to the class and all its tokens, where the text has the class's set; a class once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, rank = Shingler(n), ranks.value
+        rows, done = _rows_of(n, ranks), set()
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                sizes, h1, h2, tokens = [], [], [], []
-                for t in part.column(1):
-                    s = shingler.shingles(t.as_py())
-                    a, c = set_digest(s)
-                    sizes.append(len(s))
-                    h1.append(a)
-                    h2.append(c)
-                    found = tokens_of(s, rank)
-                    tokens.append(found if with_tokens else found[: prefix_length(len(s), percent)] if len(s) else found)
-                lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in tokens]))).astype(np.int32), pa.array(np.concatenate(tokens), pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists], names=["id", "n", "h1", "h2", "tokens"])
+                _, digests, tokens = rows(part.column(0))
+                wanted = zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)
+                found = {c: t for (c, h1, h2), d, t in zip(wanted, digests, tokens, strict=True) if d == (h1, h2) and c not in done}
+                done.update(found)
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), _lists(list(found.values()))], names=["cls", "tokens"])
 
     return run
 
@@ -212,57 +237,40 @@ def _lengths_fit(percent: int) -> Column:
     return F.lit(100) * F.least("x_n", "y_n") >= F.lit(percent) * F.greatest("x_n", "y_n")
 
 
-def _candidates(joined: DataFrame, percent: int, all_tokens: bool) -> DataFrame:
-    """Each pair once that passes the length and positional filters; lesser digest first.
+def _places_fit(percent: int, before: Column) -> Column:
+    """Positional filter at a common token, if ``before`` tokens at most are common before it."""
+    most = before + F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))
+    return F.lit(100 + percent) * most >= F.lit(percent) * (F.col("x_n") + F.col("y_n"))
 
-    Where ``joined`` has all prefix tokens that a pair shares, none is common
-    before the first of them; else all before it might be.
-    """
-    swap = F.struct("x_h1", "x_h2") > F.struct("y_h1", "y_h2")
-    sides = [F.when(swap, F.col(f"{b}_{c}")).otherwise(F.col(f"{a}_{c}")).alias(f"{a}_{c}") for a, b in (("x", "y"), ("y", "x")) for c in ("h1", "h2", "n", "pos")]
-    pairs = joined.filter(_lengths_fit(percent)).select(*sides)
-    first = pairs.groupBy(*_PAIR).agg(*[F.min(c).alias(c) for c in ("x_n", "y_n", "x_pos", "y_pos")])
-    before = F.lit(0) if all_tokens else F.least("x_pos", "y_pos")
-    most = before + 1 + F.least(F.col("x_n") - F.col("x_pos") - 1, F.col("y_n") - F.col("y_pos") - 1)
-    return first.filter(F.lit(100 + percent) * most >= F.lit(percent) * (F.col("x_n") + F.col("y_n"))).select(*_PAIR)
+
+def _pairs(joined: DataFrame) -> DataFrame:
+    """Each pair once; the lesser class first."""
+    return joined.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def _side(entries: DataFrame, name: str) -> DataFrame:
-    return entries.select("token", *[F.col(c).alias(f"{name}_{c}") for c in (*KEYS, "n", "pos", "root")])
+    return entries.select("token", F.col("cls").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "pos", "root")])
 
 
 def _verifying(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            xs, ys = b.column(4), b.column(5)
-            keep = [linked(x.values.to_numpy(), y.values.to_numpy(), percent) for x, y in zip(xs, ys, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(4)], names=b.schema.names[:4]).filter(pa.array(keep, pa.bool_()))
+            keep = [linked(x.values.to_numpy(), y.values.to_numpy(), percent) for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=_PAIR).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that are linked, by their whole sets."""
-    x = sets.select(F.col("h1").alias("x_h1"), F.col("h2").alias("x_h2"), F.col("tokens").alias("x_tokens"))
-    y = sets.select(F.col("h1").alias("y_h1"), F.col("h2").alias("y_h2"), F.col("tokens").alias("y_tokens"))
-    both = pairs.join(x, ["x_h1", "x_h2"]).join(y, ["y_h1", "y_h2"]).select(*_PAIR, "x_tokens", "y_tokens")
-    return both.mapInArrow(_verifying(percent), ", ".join(f"{c} long" for c in _PAIR))
-
-
-def _node(prefix: str = "") -> Column:
-    """A class as one sortable value."""
-    return F.struct(F.col(f"{prefix}h1").alias("h1"), F.col(f"{prefix}h2").alias("h2"))
-
-
-def _node(prefix: str = "") -> Column:
-    """A class as one sortable value."""
-    return F.struct(F.col(f"{prefix}h1").alias("h1"), F.col(f"{prefix}h2").alias("h2"))
+    x, y = (sets.select(F.col("cls").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in _PAIR)
+    both = pairs.join(x, "x").join(y, "y").select("x", "y", "x_tokens", "y_tokens")
+    return both.mapInArrow(_verifying(percent), "x long, y long")
 
 
 def _roots(links: DataFrame) -> DataFrame:
-    """Components of classes: ``h1, h2, root``."""
-    roots = connected_components(links.select(_node("x_").alias("a"), _node("y_").alias("b")))
-    return roots.select("node.h1", "node.h2", "root")
+    """Components of classes: ``cls, root``."""
+    return connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "cls")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,31 +288,32 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     id_type = dict(docs.dtypes)[id_col]
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     ranks = spark.sparkContext.broadcast(frequency_ranks(source.select("text"), n))
-    schema = f"id {id_type}, n long, h1 long, h2 long, tokens array<long>"
 
-    prefixed = stored(source.mapInArrow(_prefixing(n, percent, ranks, False), schema), "prefixes")
-    members = prefixed.select("id", "n", "h1", "h2")
-    entries = prefixed.filter("n > 0").select("h1", "h2", "n", F.posexplode("tokens").alias("pos", "token"))
+    prefixed = stored(source.mapInArrow(_prefixing(n, percent, ranks), f"id {id_type}, n long, h1 long, h2 long, tokens array<long>"), "prefixes")
+    by_set = prefixed.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("id"))
+    classes = stored(by_set.select(F.monotonically_increasing_id().alias("cls"), "h1", "h2", "id"), "classes")
 
-    spread = entries.groupBy("token").agg(F.min("h1").alias("a1"), F.max("h1").alias("b1"), F.min("h2").alias("a2"), F.max("h2").alias("b2"))
-    several = spread.filter("a1 <> b1 OR a2 <> b2").select("token")
+    # one document of each class has its prefix compared
+    same = (F.col("p.h1") == F.col("c.h1")) & (F.col("p.h2") == F.col("c.h2")) & F.col("p.id").eqNullSafe(F.col("c.id"))
+    first = prefixed.alias("p").join(classes.hint("shuffle_hash").alias("c"), same)
+    entries = first.select("cls", "n", F.posexplode("tokens").alias("pos", "token"))
+    several = entries.groupBy("token").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a <> b").select("token")
     shared_entries = stored(entries.join(several, "token").distinct(), "entries")
+    release(spark)
 
-    classes = stored(members.filter("n > 0").groupBy(*KEYS).agg(F.min("id").alias("id")), "classes")
-    involved = shared_entries.select(*KEYS).distinct().join(classes, KEYS)
-    wanted = stored(involved.select(F.col("id").alias("w_id"), F.col("h1").alias("w1"), F.col("h2").alias("w2")), "wanted")
-    ids = wanted.select("w_id").distinct().hint("shuffle_hash")
-    texts = source.join(ids, F.col("id").eqNullSafe(F.col("w_id")), "left_semi")
-    same = F.col("id").eqNullSafe(F.col("w_id")) & (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2"))
-    sets = texts.mapInArrow(_prefixing(n, percent, ranks, True), schema).join(wanted, same, "left_semi")
-    sets = stored(sets.select(*KEYS, "tokens").dropDuplicates(KEYS), "sets")
+    involved = classes.join(shared_entries.select("cls").distinct(), "cls", "left_semi")
+    wanted = involved.select(F.col("id").alias("wanted_id"), "cls", "h1", "h2").hint("shuffle_hash")
+    texts = source.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id"))).select("text", "cls", "h1", "h2")
+    sets = stored(texts.mapInArrow(_collecting(n, ranks), "cls long, tokens array<long>"), "sets")
+    release(spark)
 
     roots = _roots(_links(shared_entries, sets, percent))
-    rooted = classes.join(roots, KEYS, "left").select("id", *KEYS, F.coalesce("root", _node()).alias("root"))
+    rooted = classes.join(roots, "cls", "left").select("id", "h1", "h2", F.coalesce("root", "cls").alias("root"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    by_class = stored(rooted.join(least, "root").select(*KEYS, "component_id"), "components")
-    discard(shared_entries, wanted, sets, classes)
-    out = members.join(by_class, KEYS, "left")
+    by_class = stored(rooted.join(least, "root").select("h1", "h2", "component_id"), "components")
+    discard(shared_entries, sets, classes)
+    release(spark)
+    out = prefixed.select("id", "n", "h1", "h2").join(by_class, ["h1", "h2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
@@ -317,21 +326,24 @@ def _links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     links: DataFrame | None = None
     tried: DataFrame | None = None
     for step in range(_HUB_ROUNDS + 1):
-        own = entries.withColumn("root", _node())
+        own = entries.withColumn("root", F.col("cls"))
         if links is not None:
-            own = entries.join(_roots(links), KEYS, "left").withColumn("root", F.coalesce("root", _node()))
-        rooted = stored(own.select("token", *KEYS, "n", "pos", "root"), "rooted")
+            own = entries.join(_roots(links), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        rooted = stored(own.select("token", "cls", "n", "pos", "root"), "rooted")
         span = rooted.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
         if step == _HUB_ROUNDS:
             open_entries = stored(rooted.join(span.select("token"), "token"), "open")
             joined = _side(open_entries, "x").join(_side(open_entries, "y"), "token").filter("x_root < y_root")
+            # a linked pair passes at the first token that it has in common, with none before
+            joined = joined.filter(_lengths_fit(percent) & _places_fit(percent, F.lit(0)))
         else:
             # of a token's classes, the hub is the least one of its least component, in the next round of its greatest
             pick = ("least", "most")[step % 2]
             inside = rooted.join(span.select("token", pick), "token").filter(F.col("root") == F.col(pick))
-            hubs = inside.groupBy("token").agg(F.min(F.struct(*KEYS, "n", "pos", "root")).alias("hub")).select("token", "hub.*")
+            hubs = inside.groupBy("token").agg(F.min(F.struct("cls", "n", "pos", "root")).alias("hub")).select("token", "hub.*")
             joined = _side(rooted, "x").join(_side(hubs, "y"), "token").filter("x_root <> y_root")
-        pairs = _candidates(joined, percent, step == _HUB_ROUNDS)
+            joined = joined.filter(_lengths_fit(percent) & _places_fit(percent, F.least("x_pos", "y_pos")))
+        pairs = _pairs(joined)
         if tried is not None:
             pairs = pairs.join(tried, _PAIR, "left_anti")
         pairs = stored(pairs, "pairs")
@@ -339,4 +351,5 @@ def _links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         discard(rooted)
+        release(entries.sparkSession)
     return links

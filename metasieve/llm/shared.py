@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable
 
@@ -52,6 +54,17 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of steps that nothing refers to any more.
+
+    What a step's plan refers to is found in two rounds; the cleaner runs beside.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
+
+
 def fresh_name(name: str, taken: Iterable[str]) -> str:
     """``name``, with underscores added until no column in ``taken`` has it."""
     low = {x.lower() for x in taken}
