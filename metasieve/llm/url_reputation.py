@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -96,6 +98,8 @@ def host_reputation(pages: DataFrame, host_col: str, bad_col: str, settings: Rep
         "suffix": F.element_at(labels, -1),
         "domain": F.when(size > 1, F.concat_ws(".", F.element_at(labels, F.greatest(size - 1, F.lit(1))), F.element_at(labels, -1))).otherwise(F.col("host")),
     })
+    # one row a host from here on: the pages are read once for it
+    hosts = stored(hosts, "hosts")
     sums = [F.sum("n").alias("n"), F.sum("x").alias("x")]
     suffixes = hosts.groupBy("suffix").agg(*sums)
     domains = hosts.groupBy("suffix", "domain").agg(*sums)
