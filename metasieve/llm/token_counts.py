@@ -84,5 +84,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     ).select("digest", "text")
     misses.mapInArrow(_encoder(tokenizer_path, version), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
 
-    counts = read_cache(spark, cache_path).filter(F.col("tokenizer") == F.lit(version)).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # written first, so that the join below is one that adaptive execution can split at a hot digest
+    counts = read_cache(spark, cache_path).filter(F.col("tokenizer") == F.lit(version)).join(keyed.select("digest").distinct(), "digest", "left_semi")
+    counts = stored(counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return keyed.join(counts, "digest").select(F.col("id").alias(id_col), "n_bytes", "digest", "n_tokens")
