@@ -35,8 +35,6 @@ def _flat_holds(op: str, layout: Flat, key: str, v: Value, lossy: bool) -> Truth
     col = layout.column(key)
     if tag == DataType.STRING_MAP:
         return bag.string_map_entries(col) == bag.literal(v)
-    if tag == DataType.TIME and dict(layout.schema.fields[layout.schema.names.index(key)].__dict__).get("dataType").typeName() == "time":
-        col = F.time_to_micros(col) * 1000
     return compare(col, op, bag.literal(v))
 
 

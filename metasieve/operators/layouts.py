@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import bag
 from ..functions.numbers import Operand
-from ..plans.dtypes import FLOATS, NUMERIC, DataType, tag_of_spark
+from ..plans.dtypes import FLOATS, DataType, tag_of_spark
 
 
 def _name(key: str) -> str:
@@ -91,6 +91,3 @@ class Bag:
 
 Layout = Flat | Bag
 
-
-def is_number(tag: DataType | None) -> bool:
-    return tag in NUMERIC

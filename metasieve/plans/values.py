@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from decimal import Decimal
 from typing import Any
 
-from .dtypes import BIG, FLOATS, INTEGRAL, DataType, integer_bounds
+from .dtypes import FLOATS, INTEGRAL, DataType, integer_bounds
 
 _UNIT_S = 1_000_000_000
 
@@ -165,6 +165,3 @@ def value_of(x: Any) -> Value:
             return typed(tag, x)
     raise TypeError(f"{type(x).__name__} is no metadata value; register_literal() can make it one")
 
-
-def is_big(v: Value) -> bool:
-    return v.tag in BIG
