@@ -33,9 +33,9 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated passages; a document of which nothing is left goes.
 
-    ``n_chars`` follows the text.
+    A text of fewer than three lines is one passage. ``n_chars`` follows the text.
     """
-    out, names = dedup_lines(docs)
+    out, names = dedup_lines(docs, short_texts=True)
     emptied = (F.col(names["n_removed"]) > 0) & (F.col(names["n_removed"]) >= F.col(names["n_lines"]))
     kept = out.filter(~emptied)
     if "n_chars" in docs.columns:

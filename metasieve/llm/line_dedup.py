@@ -16,15 +16,18 @@ def _lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n", -1), lambda line: F.trim(line)), lambda line: line != "")
 
 
-def _windows(lines: Column) -> Column:
-    """Place and 128-bit hash of each run of three lines."""
+def _windows(lines: Column, short_texts: bool) -> Column:
+    """Place and 128-bit hash of each run of three lines; with ``short_texts``, fewer lines than that are one run."""
 
-    def window(p: Column) -> Column:
-        run = [F.element_at(lines, (p + i).cast("int")) for i in range(1, WINDOW + 1)]
-        return F.struct(p.cast("int").alias("p"), F.xxhash64(*run).alias("h1"), F.xxhash64(F.lit(WINDOW), *run[::-1]).alias("h2"))
+    def window(p: Column, size: int) -> Column:
+        run = [F.element_at(lines, (p + i).cast("int")) for i in range(1, size + 1)]
+        return F.struct(p.cast("int").alias("p"), F.xxhash64(*run).alias("h1"), F.xxhash64(F.lit(size), *run[::-1]).alias("h2"))
 
     last = F.size(lines) - WINDOW
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), window))
+    windows = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda p: window(p, WINDOW)))
+    for size in range(1, WINDOW if short_texts else 1):
+        windows = windows.when(F.size(lines) == size, F.array(window(F.lit(0), size)))
+    return windows
 
 
 def remove_covered(text: str, starts: list[int]) -> tuple[str, int, int]:
@@ -38,7 +41,7 @@ def remove_covered(text: str, starts: list[int]) -> tuple[str, int, int]:
             n += 1
         else:
             kept.append(line)
-    return "\n".join(kept), n, len(covered)
+    return "\n".join(kept), n, sum(p < n for p in covered)
 
 
 def _removed(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
@@ -46,15 +49,16 @@ def _removed(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["text", "n_lines", "n_removed"]).astype({"n_lines": "Int32", "n_removed": "Int32"})
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[str, str]]:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_texts: bool = False) -> tuple[DataFrame, dict[str, str]]:
     """Removes every later occurrence of three consecutive lines.
 
     Lines are compared without spaces at their ends; blank lines are passed over
     and stay. Of equal windows, the one in the document with the least id (a
     null id comes first), at the least place there, is the first occurrence; all
     others are later ones, and the lines that any of them covers are removed. A
-    line that goes thus stays in an earlier place. Texts that are null or of
-    fewer than three lines stay as they are.
+    line that goes thus stays in an earlier place. Texts that are null stay as
+    they are. So do those of fewer than three lines, unless ``short_texts``: then
+    all the lines of such a text are one window, equal to no part of a longer one.
 
     Returns the frame, with ``text_col`` replaced and all other columns kept,
     and the names of the columns added: ``n_lines`` (not blank, before) and
@@ -68,7 +72,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     own, text = docs.columns, F.col(f"`{text_col}`")
     key = {"id_": F.col(f"`{id_col}`"), "digest_": F.unhex(F.md5(F.coalesce(text, F.lit(""))))}
     places = docs.filter(text.isNotNull()).select(*[c.alias(n) for n, c in key.items()], _lines(text).alias("lines_"))
-    places = places.select("id_", "digest_", F.explode(_windows(F.col("lines_"))).alias("w")).select("id_", "digest_", "w.*")
+    places = places.select("id_", "digest_", F.explode(_windows(F.col("lines_"), short_texts)).alias("w")).select("id_", "digest_", "w.*")
 
     at = F.struct("id_", "digest_", "p")
     firsts = places.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(at).alias("first")).filter("n > 1").drop("n")

@@ -253,6 +253,15 @@ def test_line_dedup(spark, docs, none):
     assert dedup_lines(none)[0].count() == 0
 
 
+def test_line_dedup_of_short_texts(spark):
+    texts = ["a b", "x\ny", " a b \n\n", "\nx\n y", "y\nx", "x\ny\nz", "a b\nx", "", None, "", "x\ny\nz"]
+    df = spark.createDataFrame([*enumerate(texts), (0, "a b")], "doc_id long, text string").repartition(3)
+    out = {(r.doc_id, r.text, r.n_lines, r.n_removed) for r in dedup_lines(df, short_texts=True)[0].collect()}
+    gone = {2: ("\n", 1, 1), 3: ("", 2, 2), 10: ("", 3, 3)}
+    assert out == {(i, *gone.get(i, (t, len((t or "").split("\n")) if t else 0, 0))) for i, t in enumerate(texts)}
+    assert dedup_lines(df)[0].filter("n_removed > 0").count() == 1
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "HTTP://Www.Example.COM/en/7?q#x", "x://example.com/en/8", "x://badexample.com", "x://example.net/de/81", "x://a.example.net/de/9", "x://y.org?/es/", "x://y.org/es/1", "://h://i/j", "x://bad.test/1", "x://com/en/"]
     pages = spark.createDataFrame([(i, u, "host", None) for i, u in enumerate(urls)] + [(3, urls[3], None, None)], "page_id long, url string, host string, rule string")

@@ -39,6 +39,12 @@ def test_emptied_documents_go(spark):
     assert out == {0: ("a\nb\nc", 5), 2: ("x\ny", 3), 3: ("a\nb", 3)}
 
 
+def test_short_copies_go(spark):
+    rows = [(0, "a", 1), (1, " a", 2), (2, "a\nb", 3), (3, "a\nb", 3), (4, "", 0), (5, "", 0)]
+    out = corpus_pipeline.remove_lines(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), "")
+    assert sorted(r.doc_id for r in out.collect()) == [0, 2, 4, 5]
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     fills = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max("offset").alias("at")).collect()
