@@ -104,14 +104,10 @@ def fit_language_model(texts: list[str], langs: list[str], switch_penalty: float
     return LanguageModel(languages, {g: i for i, g in enumerate(kept)}, np.maximum(scores, -_WORST), scripts, switch_penalty)
 
 
-_SLOTS = 20
-
-
-def _slots(codes: np.ndarray) -> np.ndarray:
-    """A slot for each run of three code points."""
-    c = codes.astype(np.uint32)
-    h = c[:-2] * np.uint32(0x9E3779B1) + c[1:-1] * np.uint32(0x85EBCA6B) + c[2:] * np.uint32(0xC2B2AE35)
-    return (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(32 - _SLOTS)
+def _keys(codes: np.ndarray) -> np.ndarray:
+    """A number of 63 bits for each run of three code points."""
+    c = codes.astype(np.uint64)
+    return c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:]
 
 
 def _codes(text: str) -> np.ndarray:
@@ -125,11 +121,12 @@ class _Words(dict):
         self.model, self.k = model, len(model.languages)
         self.scores, self.weight = np.zeros((4096, self.k)), np.zeros(4096, np.int64)
         self.pending: list[str] = []
-        # row 0 stands for n-grams not learned; of n-grams in one slot the last learned counts
+        # row 0 stands for n-grams not learned, and so does the key after the last
         self.grams = np.concatenate([np.zeros((1, self.k)), model.gram_scores])
-        self.slots = np.zeros(1 << _SLOTS, np.int32)
-        for g, row in model.gram_rows.items():
-            self.slots[_slots(_codes(g))] = row + 1
+        keys = _keys(_codes("".join(model.gram_rows)))[::3]
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], np.uint64(1 << 63))
+        self.rows = np.append(np.array(list(model.gram_rows.values()), np.int64)[order] + 1, 0)
         names = sorted({s for _, s in SCRIPT_RANGES})
         self.script_at = np.array([names.index(s) for _, s in SCRIPT_RANGES])
         self.allowed = np.ones((len(names), self.k), bool)
@@ -142,6 +139,12 @@ class _Words(dict):
         self.pending.append(letters_of(token))
         return at
 
+    def _found(self, codes: np.ndarray) -> np.ndarray:
+        """Scores of each run of three code points, 0 for those not learned."""
+        keys, back = np.unique(_keys(codes), return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        return self.grams[np.where(self.keys[at] == keys, self.rows[at], 0)[back]]
+
     def fill(self) -> None:
         """Scores of the tokens met since the last call, all at once."""
         if not self.pending:
@@ -153,7 +156,7 @@ class _Words(dict):
         lengths = np.array([len(w) for w in self.pending], np.int64)
         codes = _codes("<" + "><".join(self.pending) + ">")
         starts = np.concatenate(([0], np.cumsum(lengths[:-1] + 2)))
-        found = self.grams[self.slots[_slots(codes)]] if len(codes) > 2 else np.zeros((0, self.k))
+        found = self._found(codes) if len(codes) > 2 else np.zeros((0, self.k))
         # the runs that begin at a word's last letter or at its end reach into the next word
         ends = starts + lengths
         found[np.concatenate((ends[ends < len(found)], ends[ends + 1 < len(found)] + 1))] = 0

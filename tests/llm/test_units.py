@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from metasieve.llm import jpeg, media
-from metasieve.llm.language import Labeller, fit_language_model
+from metasieve.llm.language import Labeller, fit_language_model, grams
 from metasieve.llm.line_dedup import remove_covered
 from metasieve.llm.ngram_join import Shingler, linked, pair_overlap, prefix_length, suffix_bound
 from metasieve.llm.packing import Packer
@@ -167,6 +167,19 @@ def test_viterbi_equals_trying_all_paths():
         assert abs(value(got) - value(best)) < 1e-9
 
 
+def test_word_scores_equal_looking_trigrams_up():
+    rng = random.Random(7)
+    word = lambda: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(rng.randint(1, 6)))
+    learned = [[word() for _ in range(9000)] for _ in range(3)]
+    model = fit_language_model([" ".join(w) for w in learned], ["x", "y", "z"])
+    words = sorted({w for part in learned for w in part} | {word() for _ in range(20000)})
+    labeller = Labeller(model)
+    list(labeller.label_all([" ".join(words)]))
+    for w in words:
+        s = sum((model.gram_scores[model.gram_rows[g]] for g in grams(w) if g in model.gram_rows), np.zeros(3))
+        assert np.allclose(labeller.words.scores[labeller.words[w]], np.maximum(s - s.max(), -8.0))
+
+
 def test_language_scripts_and_edges():
     model = fit_language_model(["the and of " * 9, "привет мир да " * 9, "le la les des " * 9], ["en", "ru", "fr"])
     found = list(Labeller(model, most_kept=3).label_all([None, "", "12 --", "мир", "the of and", "the of and the of and привет мир привет мир да да", "λόγος"]))
