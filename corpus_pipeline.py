@@ -16,7 +16,7 @@ from metasieve.llm.mixing import mix_sources
 from metasieve.llm.ngram_join import jaccard_components
 from metasieve.llm.packing import pack
 from metasieve.llm.queries import packed_digests, vocabulary
-from metasieve.llm.shared import fresh_name, fresh_path
+from metasieve.llm.shared import fresh_name, fresh_path, stored
 
 #: Documents whose language is less sure than this go.
 LEAST_LANGUAGE_SCORE = 0.2
@@ -44,21 +44,23 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: the one with the least id.
+    """Keeps one row of each group of near copies: the one with the least id.
 
-    Rows with equal ids stay or go together; of equal rows one stays.
+    Rows with a null or repeated id are documents of their own; a null id is
+    taken where all ids of the group are null. Of rows with the least id, any
+    one stays. Rows without words have no near copies; of equal ones one stays.
     """
-    groups = jaccard_components(docs.select("doc_id", "text"))
-    firsts = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    taken = [*docs.columns]
-    key, n = fresh_name("first_id", taken), fresh_name("first_n", taken)
-    firsts = firsts.select(F.col("doc_id").alias(key), F.col("n").alias(n))
-    met = docs.join(firsts.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(key)))
+    row, group, first = (fresh_name(n, docs.columns) for n in ("row_", "group_", "first_"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    once = met.filter(F.col(n) == 1).select(*columns)
-    if firsts.filter(F.col(n) > 1).isEmpty():
-        return once
-    return once.unionByName(met.filter(F.col(n) > 1).select(*columns).dropDuplicates())
+    numbered = stored(docs.select(*columns, F.monotonically_increasing_id().alias(row)), "numbered")
+    groups = jaccard_components(numbered.select(row, "text"), id_col=row)
+    has_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t\n\r\x0B\f]")
+    same = F.when(~has_words, F.sha2(F.to_json(F.struct(*columns)), 256))
+    ids = numbered.select(F.col(row).alias(first), F.col("doc_id").alias("id_"), same.alias("same_"))
+    found = stored(groups.select(F.col(row).alias(first), F.col("component_id").alias(group)), "groups")
+    order = F.struct(F.col("id_").isNull(), F.col("id_"), F.col(first))
+    firsts = found.join(ids, first).groupBy(F.coalesce("same_", F.col(group).cast("string"))).agg(F.min(order).alias("least_")).select(F.col("least_").getField(first).alias(first))
+    return numbered.join(firsts.hint("shuffle_hash"), F.col(row) == F.col(first)).select(*columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,6 +39,20 @@ def test_emptied_documents_go(spark):
     assert out == {0: ("a\nb\nc", 5), 2: ("x\ny", 3), 3: ("a\nb", 3)}
 
 
+def test_near_copies_without_ids_or_with_repeated_ones_go(spark):
+    text = [f"w{i}" for i in range(60)]
+    near = [" ".join([*text[:59], f"z{i}"]) for i in range(4)]
+    other = [" ".join([*(f"v{i}" for i in range(59)), f"z{i}"]) for i in range(3)]
+    rows = [(None, near[0]), (None, near[1]), (None, other[0]), (5, other[1]), (None, other[2])]
+    rows += [(7, "a b c d e f g"), (7, "h i j k l m n"), (7, "h i j k l m n o"), (None, "p q r s t u v"), (None, "p q r s t u v"), (9, " "), (9, " "), (9, ""), (None, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()]
+    assert sorted(str(r) for r in kept if not (r[1] or "").strip()) == ["(9, ' ')", "(9, '')", "(None, None)"]
+    kept = [r for r in kept if (r[1] or "").strip()]
+    assert sum(t in near for _, t in kept) == 1 and [k for k, t in kept if t in other] == [5]
+    assert sum(t.startswith("p") for _, t in kept) == 1 and sum(k == 7 for k, _ in kept) == 3 and len(kept) == 6
+
+
 def test_short_copies_go(spark):
     rows = [(0, "a", 1), (1, " a", 2), (2, "a\nb", 3), (3, "a\nb", 3), (4, "", 0), (5, "", 0)]
     out = corpus_pipeline.remove_lines(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), "")
