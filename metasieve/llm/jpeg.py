@@ -22,6 +22,8 @@ import numpy as np
 _DC_LENGTHS = {3: 3, 4: 3, 5: 3, 6: 3, 7: 3, 0: 3, 1: 4, 2: 4, 8: 4}
 ROW_BLOCKS = 64
 _MOST_BLOCKS = 65535 // 8
+#: Samples in a row of the pictures of a payload that is too long for one.
+_PART_WIDTH = 512
 
 
 def _canonical(lengths: dict[int, int]) -> dict[int, tuple[int, int]]:
@@ -128,13 +130,32 @@ def matrix_of(payload: bytes) -> np.ndarray:
     return np.frombuffer(filled, np.uint8).reshape(rows, wide * ROW_BLOCKS)
 
 
+def _fits(payload: bytes) -> bool:
+    return len(payload) <= _MOST_BLOCKS // ROW_BLOCKS * ROW_BLOCKS * _MOST_BLOCKS
+
+
+def _write_parts(payload: bytes) -> bytes:
+    """Pictures of one width, one after the other; the first one's comment gives the length and their number."""
+    size = _PART_WIDTH * _MOST_BLOCKS
+    starts, out = range(0, len(payload), size), []
+    for lo in starts:
+        part = payload[lo : lo + size]
+        part += bytes(-len(part) % _PART_WIDTH)
+        note = b"" if lo else b"%d/%d" % (len(payload), len(starts))
+        out += write_grey([np.frombuffer(part, np.uint8).reshape(-1, _PART_WIDTH)], [note])
+    return b"".join(out)
+
+
 def write_payloads(payloads: list[bytes]) -> list[bytes]:
-    """One file for each payload; a comment gives the length where zeros fill the last row."""
+    """One file for each payload; a comment gives the length where zeros fill the last row.
+
+    A payload that is too long for one picture (66 MB) is split over several.
+    """
     by_width: dict[int, list[int]] = {}
-    matrices = [matrix_of(p) for p in payloads]
-    for i, m in enumerate(matrices):
+    matrices = {i: matrix_of(p) for i, p in enumerate(payloads) if _fits(p)}
+    for i, m in matrices.items():
         by_width.setdefault(m.shape[1], []).append(i)
-    out: list = [None] * len(payloads)
+    out: list = [None if i in matrices else _write_parts(p) for i, p in enumerate(payloads)]
     for members in by_width.values():
         notes = [b"%d" % len(payloads[i]) if matrices[i].size > len(payloads[i]) else b"" for i in members]
         for i, blob in zip(members, write_grey([matrices[i] for i in members], notes), strict=True):
@@ -144,7 +165,7 @@ def write_payloads(payloads: list[bytes]) -> list[bytes]:
 
 def payload_length(blob: bytes, samples: int) -> int:
     """How many of a file's samples are payload."""
-    note = parse(blob).comment
+    note = parse(blob).comment.partition(b"/")[0]
     return int(note) if note.isdigit() else samples
 
 
@@ -166,6 +187,8 @@ class Picture:
     scan: list[tuple[int, int, int]] = field(default_factory=list)
     data: bytes = b""
     comment: bytes = b""
+    #: Where the bytes after the picture begin.
+    end: int = 0
 
     def mcus(self) -> tuple[int, int]:
         """Columns and rows of coded units."""
@@ -179,11 +202,11 @@ class Picture:
         return tuple(sorted(self.huffman.items())), tuple(self.frame), tuple(self.scan)
 
 
-def parse(blob: bytes) -> Picture:
-    """Reads the markers; raises ValueError for anything but a baseline file with one scan."""
-    if blob[:2] != b"\xff\xd8":
+def parse(blob: bytes, start: int = 0) -> Picture:
+    """Reads the markers of the picture at ``start``; raises ValueError for anything but a baseline file with one scan."""
+    if blob[start : start + 2] != b"\xff\xd8":
         raise ValueError("no JPEG start marker")
-    p, at = Picture(), 2
+    p, at = Picture(), start + 2
     while True:
         if at + 4 > len(blob) or blob[at] != 0xFF:
             raise ValueError("broken marker")
@@ -217,11 +240,23 @@ def parse(blob: bytes) -> Picture:
             p.scan = [(ids.index(body[i]), body[i + 1] >> 4, body[i + 1] & 15) for i in range(1, 1 + 2 * body[0], 2)]
             if not p.frame or p.scan[0][0] != 0:
                 raise ValueError("the first scan lacks the first component")
-            end = blob.rfind(b"\xff\xd9")
+            # within a scan, a byte FF comes before 00 or a restart marker only
+            end = blob.find(b"\xff\xd9", at)
             p.data = blob[at : end if end >= at else len(blob)]
+            p.end = end + 2 if end >= at else len(blob)
             return p
 
 
+def parse_all(blob: bytes) -> list[Picture]:
+    """The first picture of a file, and those that hold the rest of a payload split by :func:`write_payloads`."""
+    found = [parse(blob)]
+    total, slash, n = found[0].comment.partition(b"/")
+    if slash and total.isdigit() and n.isdigit():
+        while len(found) < int(n) and blob.startswith(b"\xff\xd8", found[-1].end):
+            found.append(parse(blob, found[-1].end))
+    return found
+
+
 def _lookup(table: bytes) -> tuple[np.ndarray, np.ndarray]:
     """By the next 16 bits: the symbol, and its code's length (0: no such code)."""
     symbols, lengths = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.uint8)
@@ -341,12 +376,19 @@ def _skip_ac(bits: _Bits, lanes, tables, n_lanes: int) -> None:
 
 
 def thumbnails(blobs: list[bytes]) -> list[np.ndarray]:
-    """DC-only luminance of each file: one 8-bit sample for each 8x8 block of the picture."""
-    pictures = [parse(b) for b in blobs]
+    """DC-only luminance of each file: one 8-bit sample for each 8x8 block of the picture.
+
+    The pictures of a split payload are put below each other.
+    """
+    split = [parse_all(b) for b in blobs]
+    pictures = [parts[0] for parts in split]
     groups: dict[tuple, list[int]] = {}
-    for i, p in enumerate(pictures):
-        groups.setdefault(p.likeness(), []).append(i)
     out: list = [None] * len(blobs)
+    for i, parts in enumerate(split):
+        if len(parts) > 1:
+            out[i] = np.concatenate([_grid(p, _decode([p])[0]) for p in parts])
+        else:
+            groups.setdefault(parts[0].likeness(), []).append(i)
     for members in groups.values():
         for i, dc in zip(members, _decode([pictures[i] for i in members]), strict=True):
             out[i] = _grid(pictures[i], dc)

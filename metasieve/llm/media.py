@@ -48,12 +48,12 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores every whole text (null: empty) losslessly as one grey baseline JPEG.
+    """Stores every whole text (null: empty) losslessly as one file, a grey baseline JPEG.
 
     Returns ``id_col, n_bytes long, media binary``, one row per input row; ids
     may be null or repeated, other columns are not read. The file's unit is an
     8x8 block, whose DC value holds one byte. A text beyond 66 MB does not fit a
-    JPEG's height and width and raises an error.
+    JPEG's height and width: its file holds several pictures, one after the other.
     """
     id_type = dict(docs.dtypes)[id_col]
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -78,7 +78,7 @@ def _features(blobs: list[bytes | None]) -> list[tuple]:
     good = []
     for i, blob in enumerate(blobs):
         try:
-            good.append((i, jpeg.parse(blob)) if blob is not None else None)
+            good.append((i, jpeg.parse_all(blob)) if blob is not None else None)
         except (ValueError, IndexError, KeyError):
             good.append(None)
     good = [x for x in good if x]
@@ -86,9 +86,9 @@ def _features(blobs: list[bytes | None]) -> list[tuple]:
         lights = jpeg.thumbnails([blobs[i] for i, _ in good])
     except (ValueError, IndexError, KeyError):
         lights = [_one(blobs[i]) for i, _ in good]
-    for (i, p), light in zip(good, lights, strict=True):
+    for (i, parts), light in zip(good, lights, strict=True):
         if light is not None:
-            out[i] = (p.width, p.height, light.shape[1], light.shape[0], jpeg.thumbnail_hash(light), light.tobytes())
+            out[i] = (parts[0].width, sum(p.height for p in parts), light.shape[1], light.shape[0], jpeg.thumbnail_hash(light), light.tobytes())
     return out
 
 

@@ -1,5 +1,6 @@
 """The parts of the operators that need no Spark, against plain versions."""
 
+import hashlib
 import itertools
 import random
 
@@ -91,6 +92,23 @@ def test_jpeg_round_trip():
     assert len(media.payload_of("")) == 64 == len(media.payload_of("a" * 64)) and len(media.payload_of("é" * 33)) == 128
 
 
+def test_payloads_beyond_one_picture(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(jpeg, "_MOST_BLOCKS", 70)
+    rng = random.Random(9)
+    texts = ["a" * 4480, "a" * 4481, "".join(chr(rng.randrange(1, 0x250)) for _ in range(100_000)), "short"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(texts)], names=["id", "text"])
+    stored = list(media._encode(iter([batch])))
+    blobs = [m for b in stored for m in b.column(2).to_pylist()]
+    assert [len(jpeg.parse_all(m)) for m in blobs] == [1, 1, 5, 1] and len(jpeg.parse_all(blobs[2] + blobs[0])) == 5
+    rows = [r for b in media._digests(iter(stored)) for r in b.to_pylist()]
+    for r, t in zip(rows, texts, strict=True):
+        assert r["payload_sha256"] == hashlib.sha256(media.payload_of(t)).hexdigest()
+    width, height, wide, high, _, _ = media._features([blobs[2]])[0]
+    assert (width, height) == (8 * wide, 8 * high)
+
+
 def test_jpeg_with_ac_colour_and_no_restarts():
     """A file of three components with 2x2 sampling, AC codes and zero runs, written bit by bit."""
     dc, ac = {0: (0b0, 1), 3: (0b10, 2)}, {0x00: (0b0, 1), 0x01: (0b10, 2), 0xF0: (0b110, 3), 0x12: (0b1110, 4)}
