@@ -11,10 +11,12 @@ A result is True or False, or a column that is null only where its operand is.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from decimal import Decimal, localcontext
 from fractions import Fraction
 from functools import reduce
+from operator import and_, or_
 
 import numpy as np
 from pyspark.sql import Column
@@ -46,18 +48,25 @@ class Operand:
     scale: int = 0
 
 
+def balanced(join: Callable[[Column, Column], Column], parts: list[Column]) -> Column:
+    """One or more columns under a tree of ``join`` whose depth is the logarithm of their number."""
+    while len(parts) > 1:
+        parts = [reduce(join, parts[i : i + 2]) for i in range(0, len(parts), 2)]
+    return parts[0]
+
+
 def all_of(*parts: Truth) -> Truth:
     kept = [p for p in parts if p is not True]
     if any(p is False for p in kept):
         return False
-    return reduce(lambda a, b: a & b, kept) if kept else True
+    return balanced(and_, kept) if kept else True
 
 
 def any_of(*parts: Truth) -> Truth:
     kept = [p for p in parts if p is not False]
     if any(p is True for p in kept):
         return True
-    return reduce(lambda a, b: a | b, kept) if kept else False
+    return balanced(or_, kept) if kept else False
 
 
 def none_of(part: Truth) -> Truth:
@@ -208,3 +217,65 @@ def numbers(op: str, x: Operand, v: Value, lossy: bool) -> Truth:
     if right_float:
         return _int_with_float(op, x, v.data, lossy)
     return _float_with_int(op, x, v, lossy)
+
+
+def any_equal(x: Operand, values: list[Value], lossy: bool) -> Truth:
+    """Whether the operand equals one of the literals: one IN for all that its type can hold exactly.
+
+    Where the policy allows it, a second IN has what is compared as doubles.
+    Only integers with whole doubles beyond 64 bits, and doubles with integers
+    that lie between two of them, are compared one by one.
+    """
+    exactly: dict[Fraction, None] = {}
+    doubles: dict[float, None] = {}
+    rest: list[Truth] = []
+    for v in values:
+        y = v.data
+        if x.tag in FLOATS:
+            if v.tag in FLOATS:
+                doubles[y] = None
+            elif v.tag in BIG or not _bounds64(v.tag)[0] <= y <= _bounds64(v.tag)[1]:
+                if lossy:
+                    doubles[_to_double(y)] = None
+            elif int(float(y)) == y:
+                doubles[float(y)] = None
+            elif lossy:
+                rest.append(numbers("eq", x, v, lossy))
+        elif v.tag not in FLOATS:
+            exactly[Fraction(y)] = None
+        elif x.tag in BIG:
+            if lossy and math.isfinite(y):
+                doubles[y] = None
+        elif math.isfinite(y) and y == math.floor(y):
+            low, high = _bounds64(x.tag)
+            if low <= int(y) <= high:
+                exactly[Fraction(y)] = None
+            elif lossy:
+                rest.append(numbers("eq", x, v, lossy))
+    return any_of(_in_exact(x, list(exactly)), _in_doubles(x, [y for y in doubles if not math.isnan(y)]), *rest)
+
+
+def _in_exact(x: Operand, wanted: list[Fraction]) -> Truth:
+    if x.form == "wide":
+        keys = [k for k in map(literal_key, wanted) if k is not None]
+        return wide_key(x.col).isin(keys) if keys else False
+    scale = x.scale if x.form == "decimal" else 0
+    units = [int(q) for q in (q * 10**scale for q in wanted) if q.denominator == 1 and x.low <= q <= x.high]
+    if not units:
+        return False
+    if x.form == "int":
+        return x.col.isin(units)
+    with localcontext(prec=60):  # of the column's scale, so that the column need not be cast
+        return x.col.isin([Decimal(n).scaleb(-scale) for n in units])
+
+
+def _in_doubles(x: Operand, wanted: list[float]) -> Truth:
+    if x.form == "float":
+        wanted = [y for y in wanted if math.isinf(y) or (abs(y) < 3.5e38 and float(np.float32(y)) == y)]
+    if 0.0 in wanted:  # a set has two zeros
+        wanted = [y for y in wanted if y] + [0.0, -0.0]
+    if not wanted:
+        return False
+    if x.form == "float":
+        return x.col.isin([F.lit(y).cast("float") for y in wanted])
+    return (x.col if x.tag in FLOATS else as_double(x)).isin(wanted)

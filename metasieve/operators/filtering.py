@@ -7,15 +7,14 @@ negation. Over a bag, a CASE on the type tag picks the comparison.
 
 from __future__ import annotations
 
-from fractions import Fraction
-from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bag
-from ..functions.numbers import Truth, all_of, any_of, compare, numbers
-from ..plans.dtypes import FLOATS, INTEGRAL, NUMERIC, DataType
+from ..functions.numbers import Truth, all_of, any_equal, any_of, balanced, compare, numbers
+from ..plans.dtypes import FLOATS, NUMERIC, DataType
 from ..plans.filters import RANGES, And, Condition, Expr, FilterMatchOptions, MetadataFilter, MissingKeyPolicy, Not, NumberComparisonPolicy, Or
 from ..plans.values import Value
 from .layouts import Bag, Flat, Layout
@@ -39,24 +38,22 @@ def _flat_holds(op: str, layout: Flat, key: str, v: Value, lossy: bool) -> Truth
 
 
 def _flat_in(layout: Flat, key: str, values: tuple[Value, ...], lossy: bool) -> Truth:
-    """Equality with one of ``values``: those that the column's type holds go into one IN."""
-    tag = layout.tag(key)
-    plain: list = []
-    rest: list[Truth] = []
-    if tag in INTEGRAL and layout.operand(key).form == "int":
-        x = layout.operand(key)
-        for v in values:
-            if v.tag in NUMERIC and v.tag not in FLOATS:
-                q = Fraction(v.data)
-                if q.denominator == 1 and x.low <= q <= x.high:
-                    plain.append(int(q))
-            else:
-                rest.append(_flat_holds("eq", layout, key, v, lossy))
-    elif tag in (DataType.STRING, DataType.CHAR, DataType.URL):
-        plain = [v.data for v in values if v.tag == tag]
-    else:
-        rest = [_flat_holds("eq", layout, key, v, lossy) for v in values]
-    return any_of(layout.column(key).isin(plain) if plain else False, *rest)
+    """Equality with one of ``values``, in one IN for all that the column's type holds."""
+    tag, col = layout.tag(key), layout.column(key)
+    if tag in NUMERIC:
+        return any_equal(layout.operand(key), [v for v in values if v.tag in NUMERIC], lossy)
+    if tag == DataType.STRING_MAP:
+        col = bag.string_map_entries(col)
+    return _lane_in(col, [v for v in values if v.tag == tag])
+
+
+def _lane_in(lane: Column, values: list[Value]) -> Truth:
+    """Equality of a lane that holds no number with one of the values of its type."""
+    plain = [v.data if v.tag in _TEXTS else bag.literal(v) for v in dict.fromkeys(values)]
+    return lane.isin(plain) if plain else False
+
+
+_TEXTS = (DataType.STRING, DataType.CHAR, DataType.URL, DataType.JSON)
 
 
 #: Tags by the lane and comparison that they share; numbers first.
@@ -80,6 +77,22 @@ def _bag_holds(op: str, e: Column, v: Value, lossy: bool) -> Truth:
     return any_of(*found)
 
 
+def _bag_in(e: Column, values: tuple[Value, ...], lossy: bool) -> Truth:
+    """Equality of a bag's entry with one of ``values``: an IN for each lane, and for floats one for each class of numbers."""
+    found: list[Truth] = []
+    exact, floats = [v for v in values if v.tag in NUMERIC - FLOATS], [v for v in values if v.tag in FLOATS]
+    for tags in _CLASSES.values():
+        # by the lane alone if the values are exact and no policy matters: text lanes of all widths are one
+        together = [t for t in NUMERIC - FLOATS if bag.lane_of(t) == bag.lane_of(tags[0])]
+        if exact and (tags[0] in FLOATS or tags[0] == min(together, key=lambda t: t.value)):
+            found.append(all_of(any_equal(bag.operand(e, tags[0]), exact, lossy), e["t"].isin([t.value for t in together or tags])))
+        if floats:
+            found.append(all_of(any_equal(bag.operand(e, tags[0]), floats, lossy), e["t"].isin([t.value for t in tags])))
+    for tag in dict.fromkeys(v.tag for v in values if v.tag not in NUMERIC):
+        found.append(all_of(_lane_in(e[bag.lane_of(tag)], [v for v in values if v.tag == tag]), e["t"] == tag.value))
+    return any_of(*found)
+
+
 def _condition(c: Condition, layout: Layout, options: FilterMatchOptions) -> Column:
     lossy = options.number_comparison_policy == NumberComparisonPolicy.APPROXIMATE
     present = layout.present(c.key)
@@ -95,7 +108,7 @@ def _condition(c: Condition, layout: Layout, options: FilterMatchOptions) -> Col
         truth = _flat_in(layout, c.key, c.values, lossy) if len(c.values) > 1 else any_of(*[_flat_holds(op, layout, c.key, v, lossy) for v in c.values])
     else:
         # the entry is looked up once; lanes of other types, and absent entries, are null: no comparison with them holds
-        found = F.transform(F.array(layout.entry(c.key)), lambda e: _column(any_of(*[_bag_holds(op, e, v, lossy) for v in c.values])))
+        found = F.transform(F.array(layout.entry(c.key)), lambda e: _column(_bag_holds(op, e, c.values[0], lossy) if len(c.values) == 1 else _bag_in(e, c.values, lossy)))
         truth = F.coalesce(F.element_at(found, 1), F.lit(False))
     if c.op not in ("ne", "not_in"):
         return _column(truth if isinstance(layout, Bag) else all_of(present, truth))
@@ -112,9 +125,9 @@ def expr_column(e: Expr | None, layout: Layout, options: FilterMatchOptions) ->
     if isinstance(e, Condition):
         return _condition(e, layout, options)
     if isinstance(e, And):
-        return reduce(lambda a, b: a & b, [expr_column(c, layout, options) for c in e.children])
+        return balanced(and_, [expr_column(c, layout, options) for c in e.children])
     if isinstance(e, Or):
-        return reduce(lambda a, b: a | b, [expr_column(c, layout, options) for c in e.children])
+        return balanced(or_, [expr_column(c, layout, options) for c in e.children])
     if isinstance(e, Not):
         return ~expr_column(e.child, layout, options)
     return F.lit(False)

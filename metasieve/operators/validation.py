@@ -62,9 +62,21 @@ def _bag_errors(schema: MetadataSchema, layout: Bag) -> list[Column]:
 
 
 def split_valid(df: DataFrame, schema: MetadataSchema, layout: Layout | None = None, error_name: str = "error") -> tuple[DataFrame, DataFrame]:
-    """The valid rows, and the others with their error in ``error_name``."""
-    checked = df.withColumn(error_name, error_column(schema, layout or Flat.of(df)))
-    return checked.filter(F.col(error_name).isNull()).drop(error_name), checked.filter(F.col(error_name).isNotNull())
+    """The valid rows, and the others with their error in ``error_name``, the last column.
+
+    Where ``df`` has a column of that name, underscores come in front of it.
+    """
+    name = free_name(error_name, df.columns)
+    checked = df.withColumn(name, error_column(schema, layout or Flat.of(df)))
+    return checked.filter(F.col(name).isNull()).drop(name), checked.filter(F.col(name).isNotNull())
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores in front until no column has it."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
 
 
 def require_valid(df: DataFrame, schema: MetadataSchema, layout: Layout | None = None) -> DataFrame:

@@ -209,7 +209,10 @@ class MetadataFilterBuilder:
         if error is not None:
             self._error = self._error or error
             return self
-        self._expr, self._touched = join(self._expr, negated(inner._expr) if negate else inner._expr), True
+        expr = inner._expr
+        if negate and expr is not None:  # a group that has come to match all is not negated: it gives way
+            expr = negated(expr)
+        self._expr, self._touched = join(self._expr, expr), True
         return self
 
     def and_(self, make: Callable) -> MetadataFilterBuilder:

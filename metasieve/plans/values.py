@@ -37,7 +37,7 @@ class Value:
         if t == DataType.BIG_DECIMAL or t == DataType.BIG_INTEGER:
             x = str(x)
         elif t in FLOATS and not math.isfinite(x):
-            x = None
+            raise ValueError(f"JSON has no number for {x}")
         elif isinstance(x, dt.date | dt.datetime):
             x = x.isoformat()
         elif t in (DataType.TIME, DataType.DURATION):
@@ -61,7 +61,9 @@ class Value:
         elif t == DataType.BIG_INTEGER:
             x = int(str(x))
         elif t in FLOATS:
-            x = math.nan if x is None else _number(t, x)
+            x = _number(t, x)
+            if not math.isfinite(x):
+                raise ValueError(f"JSON has no number for {x}")
         elif t == DataType.DATE:
             x = dt.date.fromisoformat(x)
         elif t in (DataType.DATE_TIME, DataType.INSTANT):

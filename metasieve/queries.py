@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 from decimal import Decimal
@@ -15,8 +16,11 @@ from .operators.layouts import Bag, Flat
 from .operators.validation import error_column, split_valid
 from .plans.dtypes import DataType
 from .plans.filters import And, Condition, FilterMatchOptions, MetadataFilter, MissingKeyPolicy, Never, Not, NumberComparisonPolicy, Or
+from .plans.errors import MetadataError
 from .plans.schema import MetadataSchema, UnknownFieldPolicy
 from .plans.values import Value, json_value, string_map, typed
+from .plans.wire import condition_from_wire, condition_to_wire, schema_from_json, schema_to_json
+from .sources.folders import shared_root
 from .sources.records import bag_from_columns, bag_from_json, bag_to_json, bags_of_rows, columns_from_bag, overlay, rows_of_bag
 
 D = DataType
@@ -107,7 +111,17 @@ _labelled("not_in_missing_match", lambda: B().not_in_set("quality", [1, 7]).buil
 _labelled("not_in_missing_nomatch", lambda: B().not_in_set("quality", [1, 7]).missing_key_policy(NO_MATCH).build(), "coalesce(quality NOT IN (1, 7), false)")
 _labelled("not_in_empty_missing_nomatch", lambda: B().not_in_set("quality", []).missing_key_policy(NO_MATCH).build(), "quality IS NOT NULL")
 _labelled("not_over_missing_range", lambda: B().gt("quality", 0).not_().build(), "NOT coalesce(quality > 0, false)")
-_labelled("matches_with_options", lambda: B().ne("toxic", 0).build().with_options(FilterMatchOptions(NO_MATCH, APPROXIMATE)), "coalesce(toxic <> 0, false)")
+_labelled("with_options", lambda: B().ne("toxic", 0).build().with_options(FilterMatchOptions(NO_MATCH, APPROXIMATE)), "coalesce(toxic <> 0, false)")
+_labelled("with_missing_key_policy", lambda: B().ne("toxic", 0).build().with_missing_key_policy(NO_MATCH), "coalesce(toxic <> 0, false)")
+
+
+@register("matches_with_options", f"SELECT doc_id, coalesce(toxic <> 0, true) AS own, coalesce(toxic <> 0, false) AS given FROM {LABELLED_SQL}")
+def _matches_with_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One filter, with its own options and with others for one call."""
+    df, f = labelled(spark, sf_dir), B().ne("toxic", 0).build()
+    layout = Flat.of(df)
+    return df.select("doc_id", f.matches(layout).alias("own"), f.matches(layout, FilterMatchOptions(NO_MATCH)).alias("given"))
+
 
 # combinators
 ORD = ["o_orderkey", "o_totalprice"]
@@ -125,6 +139,14 @@ _labelled("group_or", lambda: B().eq("lang", "fr").or_(lambda g: g.eq("quality",
 _labelled("group_and_not", lambda: B().eq("lang", "en").and_not(lambda g: g.eq("quality", 1).or_eq("toxic", 1)).build(), "lang = 'en' AND NOT coalesce(quality = 1 OR toxic = 1, false)")
 _labelled("group_or_not", lambda: B().eq("lang", "es").or_not(lambda g: g.exists("quality").and_eq("toxic", 0)).build(), "lang = 'es' OR NOT coalesce(quality IS NOT NULL AND toxic = 0, false)")
 _labelled("nested_groups", lambda: B().and_(lambda g: g.eq("lang", "de").or_(lambda h: h.eq("lang", "fr").and_exists("quality"))).or_not(lambda g: g.ne("toxic", 1)).build(), "lang = 'de' OR (lang = 'fr' AND quality IS NOT NULL) OR NOT coalesce(toxic <> 1, true)")
+_orders("and_in_set", lambda: B().gt("o_totalprice", 1000.0).and_in_set("o_orderstatus", ["F", "P"]).build(), "o_totalprice > 1000 AND o_orderstatus IN ('F', 'P')")
+_orders("and_not_in_set", lambda: B().gt("o_totalprice", 1000.0).and_not_in_set("o_orderstatus", ["F", "P"]).build(), "o_totalprice > 1000 AND o_orderstatus NOT IN ('F', 'P')")
+_orders("or_in_set", lambda: B().gt("o_totalprice", 300000.0).or_in_set("o_orderstatus", ["F", "P"]).build(), "o_totalprice > 300000 OR o_orderstatus IN ('F', 'P')")
+_orders("or_not_in_set", lambda: B().gt("o_totalprice", 300000.0).or_not_in_set("o_orderstatus", ["F", "P"]).build(), "o_totalprice > 300000 OR o_orderstatus NOT IN ('F', 'P')")
+_orders("or_ne_or_le", lambda: B().gt("o_totalprice", 300000.0).or_ne("o_orderstatus", "F").or_le("o_totalprice", 2000.0).build(), "o_totalprice > 300000 OR o_orderstatus <> 'F' OR o_totalprice <= 2000")
+_labelled("or_exists", lambda: B().eq("lang", "en").or_exists("quality").build(), "lang = 'en' OR quality IS NOT NULL")
+_orders("quirk_and_not_match_all", lambda: B().eq("o_orderstatus", "F").and_not(lambda g: g.not_().and_lt("o_totalprice", 5000.0).not_()).build(), "o_orderstatus = 'F'")
+_orders("quirk_or_not_match_all", lambda: B().or_not(lambda g: g.not_().and_lt("o_totalprice", 5000.0).not_()).build(), "true")
 for _name, _make, _where in (
     ("match_all", lambda: MetadataFilter.all(), "true"),
     ("match_none", lambda: MetadataFilter.none(), "false"),
@@ -142,6 +164,16 @@ EVENT_FILTER = '{"version":1,"expr":{"type":"or","children":[{"type":"condition"
 filtered("wire_roundtrip_filter", "events", ["event_id"], lambda: MetadataFilter.from_json(MetadataFilter.from_json(EVENT_FILTER).to_json()), "events", "event_type = 'error' OR value > 50")
 filtered("wire_unnormalised", "events", ["event_id"], lambda: MetadataFilter(And((Not(Never()), Or((Condition("ge", "user_id", (Value(D.UINT32, 5),)),))))), "events", "user_id >= 5")
 
+
+
+def _conditions_by_json() -> MetadataFilter:
+    found = [condition_from_wire(json.loads(json.dumps(condition_to_wire(c)))) for c in B().ge("value", 20).and_in_set("event_type", ["error", "click"]).build().conditions()]
+    return MetadataFilter(And(tuple(found)))
+
+
+filtered("wire_conditions", "events", ["event_id"], _conditions_by_json, "events", "value >= 20 AND event_type IN ('error', 'click')")
+
+
 # numbers
 LINE = ["l_orderkey", "l_linenumber"]
 
@@ -213,6 +245,33 @@ def _wide_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 filtered("wide_numbers", _wide_parts, ["p_partkey"], lambda: B().gt("w", Decimal(500 * 10**40)).and_lt("w", Value(D.BIG_INTEGER, 600 * 10**40)).build(), "part", "p_partkey BETWEEN 500 AND 599", lambda df: Flat.of(df, tags={"w": D.BIG_DECIMAL}))
 
 
+filtered("in_double", "lineitem", LINE, lambda: B().in_set("l_quantity", [1.5 * k for k in range(2000)]).build(), "lineitem", "l_quantity % 3 = 0")
+filtered("not_in_double", "lineitem", LINE, lambda: B().not_in_set("l_quantity", [*(3 * k for k in range(2000)), math.nan, -0.0, 0.5, "3"]).build(), "lineitem", "l_quantity % 3 <> 0")
+
+
+def _decimal_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("decimal(18,1)").alias("n"))
+
+
+filtered("in_decimal", _decimal_lengths, ["doc_id"], lambda: B().in_set("n", [Decimal(7 * k) for k in range(2000)]).build(), "documents", "n_chars % 7 = 0 AND n_chars < 14000")
+filtered("in_wide", _wide_parts, ["p_partkey"], lambda: B().in_set("w", [Decimal(f"{3 * k}{'0' * 40}.5") for k in range(700)]).build(), "part", "p_partkey % 3 = 0 AND p_partkey < 2100", lambda df: Flat.of(df, tags={"w": D.BIG_DECIMAL}))
+
+
+def _int128_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys on both sides of zero, and keys far beyond 64 bits."""
+    key = F.col("p_partkey") - 1000
+    return table(spark, sf_dir, "part").select("p_partkey", key.cast("string").alias("i"), F.concat(F.col("p_partkey").cast("string"), F.lit("0" * 30)).alias("u"))
+
+
+def _as_128(df: DataFrame) -> Flat:
+    return Flat.of(df, tags={"i": D.INT128, "u": D.UINT128})
+
+
+filtered("i128_vs_float", _int128_parts, ["p_partkey"], lambda: B().gt("i", -10.5).and_le("i", 20.0).build(), "part", "p_partkey BETWEEN 990 AND 1020", _as_128)
+filtered("u128_vs_float_conservative", _int128_parts, ["p_partkey"], lambda: B().gt("u", 5e32).build(), "part", "false", _as_128)
+filtered("u128_vs_float_approx", _int128_parts, ["p_partkey"], lambda: B().gt("u", 5.005e32).build().with_number_comparison_policy(APPROXIMATE), "part", "p_partkey > 500", _as_128)
+
+
 def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled(spark, sf_dir).select("doc_id", (F.col("quality") == 1).alias("good"), F.col("lang").alias("link"))
 
@@ -238,7 +297,7 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .streaming.frames import filter_stream, read_stream, write_available
 
     like = table(spark, sf_dir, "events")
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp'}/metasieve-stream-{uuid.uuid4().hex}"
+    root = f"{shared_root(spark)}/metasieve-stream-{uuid.uuid4().hex}"
     stream = read_stream(spark, f"{sf_dir}/events.parquet*", like)
     write_available(filter_stream(stream, B().eq("event_type", "error").or_gt("value", 150).build(), Flat.of(like)), f"{root}/out", f"{root}/state")
     return spark.read.schema(like.schema).parquet(f"{root}/out").select("event_id", "event_type")
@@ -337,6 +396,8 @@ _in_bag("bag_filter_eq", lambda: B().eq("lang", "en").and_eq("quality", 1.0).bui
 _in_bag("bag_filter_range", lambda: B().gt("n_chars", 2000.5).and_le("n_chars", Value(D.UINT64, 9000)).build(), "n_chars > 2000 AND n_chars <= 9000")
 _in_bag("bag_filter_ne_missing", lambda: B().ne("quality", 1).build(), "coalesce(quality <> 1, true)")
 _in_bag("bag_filter_ne_missing_nomatch", lambda: B().ne("quality", 1).missing_key_policy(NO_MATCH).build(), "coalesce(quality <> 1, false)")
+_in_bag("bag_in_long", lambda: B().in_set("n_chars", [7 * k for k in range(2000)]).build(), "n_chars % 7 = 0 AND n_chars < 14000")
+_in_bag("bag_in_long_mixed", lambda: B().in_set("n_chars", [Decimal(7 * k) if k % 2 else float(7 * k) for k in range(200)]).build(), "n_chars % 7 = 0 AND n_chars < 1400")
 _in_bag("bag_filter_in", lambda: B().in_set("lang", ["fr", "es", 3]).build(), "lang IN ('fr', 'es')")
 _in_bag("bag_filter_not_in", lambda: B().not_in_set("quality", [Decimal(1), "1"]).build(), "coalesce(quality <> 1, true)")
 _in_bag("bag_filter_exists", lambda: B().exists("toxic").and_not_exists("nowhere").build(), "toxic IS NOT NULL")
@@ -400,6 +461,56 @@ def _match_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", filter_column(B().eq("quality", 1).build(), layout).alias("good"), filter_column(B().ne("toxic", 0).build(), layout).alias("doubtful"))
 
 
+# errors, by what each says
+def _said(make: Callable[[], object]) -> str:
+    try:
+        make()
+    except MetadataError as e:
+        return str(e)
+    return "no error"
+
+
+def _errors(name: str, cases: Callable[[], dict[str, Callable]], want: dict[str, str]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        said = {k: _said(make) for k, make in cases().items()}
+        return table(spark, sf_dir, "region").select("r_regionkey", *[F.lit(v).alias(k) for k, v in said.items()])
+
+    quoted = ", ".join("'" + v.replace("'", "''") + f"' AS {k}" for k, v in want.items())
+    register(name, f"SELECT r_regionkey, {quoted} FROM region")(run)
+
+
+_DOCUMENT = lambda: S().required("lang", D.STRING).required("n_chars", D.INT64).optional("clean", D.BOOL).build()
+_errors("filter_errors", lambda: {
+    "unknown": lambda: B().eq("language", "en").build_checked(_DOCUMENT()),
+    "bool_range": lambda: B().ge("clean", True).build_checked(_DOCUMENT()),
+    "other_type": lambda: B().in_set("lang", ["en", 5]).build_checked(_DOCUMENT()),
+    "empty_group": lambda: B().eq("lang", "en").or_not(lambda g: g).build(),
+    "fine": lambda: B().gt("n_chars", 2.5).and_lt("lang", "f").and_eq("clean", True).build_checked(_DOCUMENT()),
+}, {
+    "unknown": "Metadata filter references key 'language' not defined in schema",
+    "bool_range": "Metadata filter operator 'ge' is invalid for key 'clean' with type bool: range operators require a numeric or string field",
+    "other_type": "Metadata filter operator 'in_set' is invalid for key 'lang' with type string: filter value type int64 is not compatible with field type string",
+    "empty_group": "Metadata filter expression is invalid: empty 'or_not' filter group is not allowed",
+    "fine": "no error",
+})
+_errors("set_checked_errors", lambda: {
+    "wrong_type": lambda: bag.set_checked(_DOCUMENT(), the_bag(), "n_chars", "many"),
+    "unknown": lambda: bag.set_checked(_DOCUMENT(), the_bag(), "pages", 3),
+}, {
+    "wrong_type": "Metadata key 'n_chars' expected int64 but actual string: expected int64, got string",
+    "unknown": "Metadata key 'pages' is not defined in schema",
+})
+_bag_query("bag_set_checked", labelled_bag, lambda: ["doc_id", bag.get(bag.set_checked(_DOCUMENT(), the_bag(), "n_chars", 12), "n_chars", D.INT64).alias("n_chars"), bag.get(the_bag(), "n_chars", D.INT64).alias("before")], "SELECT doc_id, 12::BIGINT AS n_chars, n_chars AS before FROM documents")
+
+
+@register("schema_json", "SELECT doc_id, CASE WHEN n_chars IS NULL THEN 'MissingRequiredField' ELSE 'UnknownField' END AS code FROM documents")
+def _schema_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors by a schema that has been to JSON and back."""
+    df = table(spark, sf_dir, "documents")
+    e = error_column(schema_from_json(schema_to_json(_DOCUMENT())), Flat.of(df))
+    return df.select("doc_id", e["code"].alias("code"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of high value among the events."""
     return apply_filter(table(spark, sf_dir, "events"), B().eq("event_type", "error").and_gt("value", 100.0).build())

@@ -1,18 +1,21 @@
 """Filters, bags and validation on small tables; plans; every registered query against its SQL."""
 
 import glob
+import math
 import os
 import random
+from decimal import Decimal
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from metasieve import Bag, DataType, Flat, MetadataFilter, MetadataSchema, TypeMismatch, UnknownField, apply_filter, filter_column, require_valid, value_of
+from metasieve import Bag, DataType, Flat, MetadataFilter, MetadataSchema, TypeMismatch, UnknownField, UnknownFieldPolicy, Value, apply_filter, filter_column, require_valid, split_valid, value_of
 from metasieve.functions import bag
-from metasieve.plans.filters import And, Condition, FilterMatchOptions, MissingKeyPolicy, Not, Or
+from metasieve.plans.filters import And, Condition, FilterMatchOptions, MissingKeyPolicy, Not, NumberComparisonPolicy, Or
 from metasieve.queries import ORACLE_SQL, QUERIES
 from metasieve.sources.records import bag_from_json, bag_to_json
+from metasieve.streaming.frames import read_stream, write_split
 
 from .model import matches
 
@@ -70,6 +73,61 @@ def test_random_trees(spark):
             assert g == matches(e, typed[r.i], o), (e, o, layout, records[r.i])
 
 
+@pytest.mark.parametrize("policy", list(NumberComparisonPolicy))
+def test_long_lists(spark, policy):
+    """Thousands of values of all types against every kind of column, and the same as bags."""
+    edge = [0, -1, 3, 255, 1 << 53, (1 << 53) + 1, (1 << 63) - 1, 1 << 63, (1 << 64) - 1, 1 << 64, 1 << 100]
+    longs, doubles = [-1, 0, 3, (1 << 53) + 1, (1 << 63) - 1, None], [-0.0, 0.5, 2.0**63, math.nan, math.inf, None]
+    rows = [(i, longs[i], doubles[i], doubles[i], Decimal(x) if x is not None else None, w, bool(i % 2), f"{i}") for i, (x, w) in enumerate(zip(("0.5", "3", "-1", "18446744073709551615", "7.25", None), ("3", "1e2", "18446744073709551616", "0.50", "-1", None), strict=True))]
+    df = spark.createDataFrame(rows, "i int, l long, d double, f float, x decimal(22,2), w string, b boolean, s string").coalesce(1)
+    tags = {"w": D.BIG_DECIMAL, "x": D.BIG_DECIMAL}
+    flat = Flat.of(df, tags=tags)
+    keys = ["l", "d", "f", "x", "w", "b", "s"]
+    records = [{k: value_of(v) if k not in ("f", "w") else Value(D.FLOAT32, v) if k == "f" else Value(D.BIG_DECIMAL, Decimal(v)) for k, v in zip(df.columns[1:], r[1:], strict=True) if v is not None} for r in rows]
+    rng = random.Random(2)
+    noise = [value_of(rng.choice((k * 7 + 10_000, k + 0.25, Decimal(k) / 8 + 10_000, f"t{k}"))) for k in range(15)]
+    lists = [noise + [value_of(x) for x in (*edge, True, "4", Decimal("0.5"))], noise + [value_of(float(x)) for x in edge] + [value_of(x) for x in (math.nan, math.inf, 0.5, -0.0)], noise + [Value(D.UINT64, 3), Value(D.INT128, 1 << 63), Value(D.FLOAT32, 0.5), Value(D.UINT64, (1 << 64) - 1)]]
+    df = df.withColumn("bag", flat.to_bag(keys))
+    options = FilterMatchOptions(number_comparison_policy=policy)
+    cases = [(Condition("in", k, tuple(values)), flat) for values in lists for k in keys] + [(Condition("in", k, tuple(lists[1] + lists[0][-13:])), Bag("bag")) for k in "ldw"]
+    got = df.select("i", F.array(*[filter_column(MetadataFilter(c, options), layout) for c, layout in cases]).alias("got")).collect()
+    for r in got:
+        for (c, layout), g in zip(cases, r.got, strict=True):
+            assert g == matches(c, records[r.i], options), (c.key, layout, records[r.i])
+
+
+def test_wide_groups(spark):
+    b = B()
+    for k in range(150):
+        b.or_eq(f"k{k}", 1).or_eq("i", k) if k % 2 else b.or_gt("i", 5000 + k)
+    df = spark.range(3).select(F.col("id").alias("i"))
+    assert apply_filter(df, b.build()).count() == 1
+
+
+def test_split_with_an_error_column(spark):
+    schema = MetadataSchema.builder().required("n", D.INT64).unknown_field_policy(UnknownFieldPolicy.ALLOW).build()
+    good, bad = split_valid(spark.createDataFrame([(1, "a"), (None, "b")], "n long, Error string"), schema)
+    assert [tuple(r) for r in good.collect()] == [(1, "a")] and good.columns == ["n", "Error"]
+    (r,) = bad.collect()
+    assert bad.columns == ["n", "Error", "_error"] and r.Error == "b" and r._error.code == "MissingRequiredField"
+    assert error_of_empty(spark, schema) == (0, 0)
+
+
+def error_of_empty(spark, schema):
+    good, bad = split_valid(spark.createDataFrame([], "n long, error string"), schema)
+    return good.count(), bad.count()
+
+
+def test_repeated_batches_leave_no_row_twice(spark, tmp_path):
+    schema = MetadataSchema.builder().required("n", D.INT64).unknown_field_policy(UnknownFieldPolicy.ALLOW).build()
+    like = spark.createDataFrame([(1, "a"), (None, "b"), (3, "c")], "n long, error string")
+    like.write.parquet(f"{tmp_path}/in")
+    for state in ("s1", "s2"):  # without the first one's progress, its batches come again
+        write_split(read_stream(spark, f"{tmp_path}/in", like), schema, f"{tmp_path}/good", f"{tmp_path}/bad", f"{tmp_path}/{state}")
+    assert sorted(r.n for r in spark.read.parquet(f"{tmp_path}/good").collect()) == [1, 3]
+    assert [r._error.key for r in spark.read.parquet(f"{tmp_path}/bad").collect()] == ["n"]
+
+
 def test_null_bag_is_an_empty_record(spark):
     df = spark.createDataFrame([(1,)], "i int").select(F.lit(None).cast(bag.BAG).alias("bag"))
     cols = [B().eq("k", 1).build(), B().ne("k", 1).build(), B().exists("k").build(), B().not_exists("k").build()]
