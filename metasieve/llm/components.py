@@ -27,7 +27,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "near")
-        jumped = _follow(_follow(near))
+        half = _follow(near)
+        jumped = _follow(half)
         if forest is None:
             grown = jumped
         else:
@@ -37,10 +38,10 @@ def connected_components(links: DataFrame) -> DataFrame:
         root_b = jumped.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
         moved = edges.join(root_a, "a").join(root_b, "b").filter("root_a <> root_b")
         left = stored(moved.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "links")
-        discard(edges, near, *([] if forest is None else [forest, jumped]))
+        discard(edges, near, half, *([] if forest is None else [forest, jumped]))
         edges, forest = left, grown
     if forest is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        forest = stored(edges.select(F.col("a").alias("node"), F.col("b").alias("root")), "forest")
     discard(edges)
     return forest
 
