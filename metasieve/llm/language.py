@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_share, fresh_name
+from .shared import bounded_rows, discard, fresh_name, stored, texts_to_python
 
 # First code points of Unicode ranges and the script of each, "" for none of its own.
 SCRIPT_RANGES = [
@@ -73,28 +73,40 @@ def fit_language_model(texts: list[str], langs: list[str], switch_penalty: float
 
     Of the n-grams, the ``most_grams`` most frequent are kept.
     """
-    languages = sorted(set(langs))
-    words = {g: Counter() for g in languages}
+    words: dict[str, Counter] = {}
     for text, lang in zip(texts, langs, strict=True):
-        words[lang].update(text.split())
+        words.setdefault(lang, Counter()).update(text.split())
+    weights, letters = Counter(), Counter()
+    for lang, found in words.items():
+        for token, n in found.items():
+            word = letters_of(token)
+            if word:
+                for g in grams(word):
+                    weights[g, lang] += word_weight(n)
+                letters[script_of(word[0]), lang] += n
+    totals = Counter()
+    for (g, _), w in weights.items():
+        totals[g] += w
+    kept = {g for g, _ in sorted(totals.items(), key=lambda x: (-x[1], x[0]))[:most_grams]}
+    return model_of_counts(sorted(words), [(g, lang, w) for (g, lang), w in weights.items() if g in kept], [(s, lang, n) for (s, lang), n in letters.items()], switch_penalty)
+
+
+def word_weight(n: int) -> int:
+    """A word's weight grows with the root of its count: common words must not drown the rest. In millionths."""
+    return int(math.sqrt(n) * 1e6)
+
+
+def model_of_counts(languages: list[str], weights: list[tuple[str, str, int]], letters: list[tuple[str, str, int]], switch_penalty: float) -> LanguageModel:
+    """A model from weights of n-grams and words by script, each by language."""
+    at = {g: k for k, g in enumerate(languages)}
     counts: dict[str, np.ndarray] = {}
     by_script: dict[str, np.ndarray] = {}
-    for k, lang in enumerate(languages):
-        for token, n in words[lang].items():
-            word = letters_of(token)
-            if not word:
-                continue
-            # a word's weight grows with the root of its count: common words must not drown the rest
-            weight = math.sqrt(n)
-            for g in grams(word):
-                if g not in counts:
-                    counts[g] = np.zeros(len(languages))
-                counts[g][k] += weight
-            s = script_of(word[0])
-            if s not in by_script:
-                by_script[s] = np.zeros(len(languages))
-            by_script[s][k] += n
-    kept = sorted(counts, key=lambda g: (-counts[g].sum(), g))[:most_grams]
+    for into, found in ((counts, weights), (by_script, letters)):
+        for key, lang, n in found:
+            if key not in into:
+                into[key] = np.zeros(len(languages))
+            into[key][at[lang]] += n / 1e6 if into is counts else n
+    kept = sorted(counts, key=lambda g: (-counts[g].sum(), g))
     table = np.array([counts[g] for g in kept]) if kept else np.zeros((0, len(languages)))
     smooth = table + 0.5
     scores = np.log(smooth / smooth.sum(0)) if len(kept) else smooth
@@ -177,7 +189,7 @@ class _Words(dict):
 class Labeller:
     """Labels texts with one model; scores of words met are kept."""
 
-    def __init__(self, model: LanguageModel, most_kept: int = 300_000):
+    def __init__(self, model: LanguageModel, most_kept: int = 65_000):
         self.model, self.most_kept = model, most_kept
         self.words = _Words(model)
 
@@ -251,15 +263,43 @@ class Labeller:
         return path
 
 
-def learn_languages(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 3000, switch_penalty: float = 10.0) -> LanguageModel:
-    """Fits a model on about ``sample_docs`` of the rows that have text and language and satisfy ``may_learn``.
+def learn_languages(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 3000, switch_penalty: float = 10.0, most_grams: int = 100_000) -> LanguageModel:
+    """Fits a model on ``sample_docs`` at most of the rows that have text and language and satisfy ``may_learn``.
 
-    The rows are chosen by a hash of their id. Their texts are what reaches the
-    driver, ``sample_docs`` times a text's length.
+    The rows are chosen by a hash of id, language and text; equal rows count
+    once, and rows without an id are not taken. Words and n-grams are counted by
+    the executors: what reaches the driver is the weights of ``most_grams``
+    n-grams, and one number for each script, by language.
     """
     rows = docs.filter(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    got = bounded_share(rows.select(id_col, lang_col, text_col), id_col, sample_docs).select(text_col, lang_col).collect()
-    return fit_language_model([r[0] for r in got], [r[1] for r in got], switch_penalty)
+    rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    # keys are chosen before texts are sorted
+    keys = bounded_rows(rows.select(F.xxhash64("id", "lang", "text").alias("key")), sample_docs, "key")
+    taken = [r.key for r in keys.collect()]
+    sample = rows.withColumn("key", F.xxhash64("id", "lang", "text")).filter(F.col("key").isin(taken)).dropDuplicates(["key"]).select("lang", "text")
+
+    counted = sample.mapInArrow(_counting, "lang string, token string, word string, script string, n long")
+    counted = stored(counted.groupBy("lang", "token", "word", "script").agg(F.sum("n").alias("n")), "words")
+    ends = F.concat(F.lit("<"), F.col("word"), F.lit(">"))
+    runs = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring(ends, i, F.lit(3)))
+    weight = F.floor(F.sqrt("n") * 1e6).cast("long")
+    weights = stored(counted.filter("word <> ''").select("lang", weight.alias("w"), F.explode(runs).alias("gram")).groupBy("gram", "lang").agg(F.sum("w").alias("w")), "grams")
+    most = weights.groupBy("gram").agg(F.sum("w").alias("all")).orderBy(F.desc("all"), "gram").limit(most_grams).select("gram")
+    got = weights.join(most, "gram", "left_semi").select("gram", "lang", "w").collect()
+    letters = counted.filter("word <> ''").groupBy("script", "lang").agg(F.sum("n").alias("n")).select("script", "lang", "n").collect()
+    languages = sorted(r.lang for r in counted.select("lang").distinct().collect())
+    discard(counted, weights)
+    return model_of_counts(languages, [tuple(r) for r in got], [tuple(r) for r in letters], switch_penalty)
+
+
+def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``lang, text`` to counts of the tokens of each; a text without any is one empty token."""
+    for b in batches:
+        for lang, text in zip(b.column(0), b.column(1), strict=True):
+            found = Counter(text.as_py().split()) or {"": 0}
+            words = [letters_of(t) for t in found]
+            columns = [pa.array([lang.as_py()] * len(found)), pa.array(list(found)), pa.array(words), pa.array([script_of(w[0]) if w else "" for w in words]), pa.array(list(found.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "token", "word", "script", "n"])
 
 
 SPANS = "array<struct<lang: string, first_word: int, end_word: int>>"
@@ -272,22 +312,27 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "t
     of the columns added: ``lang_pred, score, spans``, with underscores in front
     where ``docs`` has such a column. A text that is null or has no letter is
     ``und`` with score 0 and no spans; words are counted as white space cuts them.
+    Texts alone go to Python, 128 at a time; all else stays in the JVM.
     """
     keep = docs.columns if keep is None else keep
     names = {n: fresh_name(n, keep) for n in ("lang_pred", "score", "spans")}
-    text = fresh_name("text_", [*keep, *names.values()])
+    label = fresh_name("label_", [*keep, *names.values()])
+    texts_to_python(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = dict(docs.dtypes)
-    out = [f"`{c}` {kinds[c]}" for c in keep] + [f"`{names['lang_pred']}` string", f"`{names['score']}` double", f"`{names['spans']}` {SPANS}"]
-    span_type = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("end_word", pa.int32())]))
+    span = pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("end_word", pa.int32())])
+    kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(span))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         labeller = Labeller(shared.value)
-        for b in batches:
-            found = list(labeller.label_all(b.column(b.num_columns - 1).to_pylist()))
-            spans = [[{"lang": g, "first_word": x, "end_word": y} for g, x, y in s] for _, _, s in found]
-            added = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(spans, span_type)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *added], names=[*b.schema.names[:-1], *names.values()])
-
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias(text))
-    return source.mapInArrow(run, ", ".join(out)), names
+        for texts in columns:
+            parts = [pa.array([], kind)]
+            for lo in range(0, len(texts), 128):
+                found = labeller.label_all(texts.slice(lo, 128).to_pylist())
+                parts.append(pa.array([{"lang": g, "score": x, "spans": [{"lang": h, "first_word": i, "end_word": j} for h, i, j in s]} for g, x, s in found], kind))
+            yield pa.concat_arrays(parts)
+
+    # not to be worked out again where a filter on the result is pushed down
+    predict = F.arrow_udf(run, f"lang string, score double, spans {SPANS}").asNondeterministic()
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], predict(F.col(f"`{text_col}`")).alias(label))
+    added = [F.col(f"`{label}`.{part}").alias(names[n]) for n, part in (("lang_pred", "lang"), ("score", "score"), ("spans", "spans"))]
+    return source.select(*[F.col(f"`{c}`") for c in keep], *added), names
