@@ -12,6 +12,7 @@ and decoration, words the rest.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_share
+from .shared import bounded_rows, discard, stored, texts_to_python
 
 _RUNS = re.compile(r"(.)\1+")
 _CLASS = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" + "bcdefghijklmnopqrstuvwxyz", "A" * 26 + "0" * 10 + "a" * 25)
@@ -70,7 +71,7 @@ class _Terms(dict):
 class Vectors:
     """Turns texts into latent vectors of unit length (of nothing: zero)."""
 
-    def __init__(self, model: QualityModel, most_kept: int = 300_000):
+    def __init__(self, model: QualityModel, most_kept: int = 100_000):
         self.model, self.most_kept = model, most_kept
         self.terms = _Terms(model.shapes, model.n_words)
 
@@ -89,75 +90,118 @@ class Vectors:
                 row /= len(at)
         return out
 
-    def weighted(self, texts: list[str | None]) -> np.ndarray:
-        return np.sqrt(self.counts(texts)) * self.model.weight
+    def weighted(self, counts: np.ndarray) -> np.ndarray:
+        return np.sqrt(counts) * self.model.weight
 
-    def latent(self, texts: list[str | None]) -> np.ndarray:
-        v = self.weighted(texts) @ self.model.projection
+    def latent(self, counts: np.ndarray) -> np.ndarray:
+        v = self.weighted(counts) @ self.model.projection
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
 def fit_quality_model(texts: list[str | None], labels: list[int], dims: int = 48, neighbours: int = 15, sharpness: float = 8.0, n_words: int = 512, most_shapes: int = 256) -> QualityModel:
     """Learns terms, weights and projection from labelled texts, which become the voters."""
-    n = len(texts)
-    y = np.array(labels, np.float64)
-    seen: dict[str, int] = {}
-    for t in texts:
-        for s in {shape(w) for w in (t or "").split()}:
-            seen[s] = seen.get(s, 0) + 1
-    shapes = {s: i for i, s in enumerate(sorted(seen, key=lambda s: (-seen[s], s))[:most_shapes])}
-    base = float((y.sum() + 1) / (n + 2))
+    seen = Counter(s for t in texts for s in shapes_in(t))
+    shapes = sorted(seen, key=lambda s: (-seen[s], s))[:most_shapes]
+    return model_of_counts(shapes, Vectors(unfitted(shapes, n_words)).counts(texts), labels, dims, neighbours, sharpness, n_words)
+
+
+def shapes_in(text: str | None) -> set[str]:
+    return {shape(w) for w in (text or "").split()}
+
+
+def unfitted(shapes: list[str], n_words: int, neighbours: int = 0, sharpness: float = 0.0) -> QualityModel:
+    """A model that has terms, and nothing else yet."""
     terms = len(shapes) + 2 + n_words
-    model = QualityModel(shapes, n_words, np.ones(terms, np.float32), np.zeros((terms, 1), np.float32), np.zeros((0, 1), np.float32), y, neighbours, sharpness, base)
+    one, none = np.ones(terms, np.float32), np.zeros((0, 1), np.float32)
+    return QualityModel({s: i for i, s in enumerate(shapes)}, n_words, one, np.zeros((terms, 1), np.float32), none, np.zeros(0), neighbours, sharpness, 0.5)
+
+
+def model_of_counts(shapes: list[str], counts: np.ndarray, labels: list[int], dims: int, neighbours: int, sharpness: float, n_words: int) -> QualityModel:
+    """Weights, projection and voters from the shares of terms in labelled texts."""
+    model = unfitted(shapes, n_words, neighbours, sharpness)
+    model.labels, n = np.array(labels, np.float64), len(labels)
+    model.base = float((model.labels.sum() + 1) / (n + 2))
     if not n:
         return model
-    make = Vectors(model)
-    there = (make.counts(texts) > 0).sum(0)
+    there = (counts > 0).sum(0)
     # the root of a term's share, times its inverse document frequency; one word says less than a shape
     model.weight = (np.log((1 + n) / (1 + there)) + 0.1).astype(np.float32)
     model.weight[len(shapes) + 2 :] *= 0.1
-    x = make.weighted(texts).astype(np.float64)
+    make = Vectors(model)
+    x = make.weighted(counts).astype(np.float64)
     _, axes = np.linalg.eigh(x.T @ x)
     model.projection = axes[:, ::-1][:, :dims].astype(np.float32)
-    model.vectors = make.latent(texts)
+    model.vectors = make.latent(counts)
     return model
 
 
 def score_texts(make: Vectors, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Scores from 0 to 1, and the similarity of the nearest neighbour."""
+    """Scores from 0 to 1, and the similarity of the nearest neighbour.
+
+    All voters vote that are as near as the last of the nearest ``neighbours``:
+    of ties at the end none is left out.
+    """
     m = make.model
     n = len(m.labels)
     if not n:
         return np.full(len(texts), m.base), np.zeros(len(texts))
-    v = make.latent(texts)
-    cos = v @ m.vectors.T
+    v = make.latent(make.counts(texts))
+    # rounded, so that copies of one voter are ties
+    cos = np.round(v @ m.vectors.T, 5)
     k = min(m.neighbours, n)
-    near = np.argpartition(cos, n - k, axis=1)[:, n - k :] if k < n else np.tile(np.arange(n), (len(texts), 1))
-    sim = np.take_along_axis(cos, near, axis=1).astype(np.float64)
-    votes = np.exp(m.sharpness * (sim - 1))
-    score = (votes * m.labels[near]).sum(1) / votes.sum(1)
+    last = np.partition(cos, n - k, axis=1)[:, n - k, None]
+    row, near = np.nonzero(cos >= last)
+    votes = np.exp(m.sharpness * (cos[row, near].astype(np.float64) - 1))
+    score = np.bincount(row, votes * m.labels[near], len(texts)) / np.bincount(row, votes, len(texts))
     empty = ~v.any(1)
     score[empty] = m.base
-    best = np.where(empty, 0.0, sim.max(1))
+    best = np.where(empty, 0.0, cos.max(1).astype(np.float64))
     return np.clip(score, 0, 1), best
 
 
-def learn_quality(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = 2500, **settings) -> QualityModel:
-    """Fits a model on about ``sample_docs`` of the labelled documents that satisfy ``may_learn``.
+def learn_quality(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = 2500, dims: int = 48, neighbours: int = 15, sharpness: float = 8.0, n_words: int = 512, most_shapes: int = 256) -> QualityModel:
+    """Fits a model on ``sample_docs`` at most of the labelled documents that satisfy ``may_learn``.
 
-    The bound holds for the labelled vectors that are broadcast and for the
-    texts that reach the driver. Of several labels of a document the least
-    counts; rows without id or label are left out.
+    Documents are chosen by a hash of their id. Of several labels of one the
+    least counts, of several texts the one of the least digest; rows without id
+    or label are left out. Terms are counted by the executors: what reaches the
+    driver is the number of chosen documents with each of the ``most_shapes``
+    most frequent shapes, and a row of term shares a document; the labelled
+    vectors that are broadcast are as many.
     """
-    rows = labels.filter(may_learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    one = rows.groupBy(id_col).agg(F.min(label_col).alias("label_"))
-    chosen = bounded_share(one, id_col, sample_docs).collect()
     spark = docs.sparkSession
+    rows = labels.filter(may_learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    one = rows.groupBy(F.col(id_col).alias("id_")).agg(F.min(label_col).alias("label_"))
+    chosen = [(r.id_, int(r.label_)) for r in bounded_rows(one, sample_docs, "id_").collect()]
     kind = dict(docs.dtypes)[id_col]
-    picked = spark.createDataFrame([(r[0], int(r[1])) for r in chosen], f"id_ {kind}, label_ int")
-    texts = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")).join(F.broadcast(picked), "id_")
-    got = sorted(((r["id_"], r["text_"] or "", r["label_"]) for r in texts.collect()), key=lambda r: (str(r[0]), r[1]))
-    return fit_quality_model([r[1] for r in got], [r[2] for r in got], **settings)
+    picked = spark.createDataFrame(chosen, f"id_ {kind}, label_ int")
+    texts = docs.select(F.col(id_col).alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "id_")
+    texts = texts.groupBy("id_", "label_").agg(F.min(F.struct(F.sha2("text", 256).alias("digest"), "text")).alias("least"))
+    texts = stored(texts.select("label_", "least.digest", "least.text"), "labelled")
+
+    seen = texts.select("text").mapInArrow(_shape_rows, "shape string, n long").groupBy("shape").agg(F.sum("n").alias("n"))
+    shapes = [r.shape for r in seen.orderBy(F.desc("n"), "shape").limit(most_shapes).collect()]
+    found = texts.mapInArrow(_count_rows(shapes, n_words), "label int, digest string, counts binary").collect()
+    discard(texts)
+    found.sort(key=lambda r: (r.digest, r.label))
+    counts = np.array([np.frombuffer(r.counts, np.float32) for r in found]).reshape(len(found), -1)
+    return model_of_counts(shapes, counts, [r.label for r in found], dims, neighbours, sharpness, n_words)
+
+
+def _shape_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        seen = Counter(s for t in b.column(0) for s in shapes_in(t.as_py()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["shape", "n"])
+
+
+def _count_rows(shapes: list[str], n_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Vectors(unfitted(shapes, n_words))
+        for b in batches:
+            counts = [make.counts([t.as_py()]).tobytes() for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.binary())], names=["label", "digest", "counts"])
+
+    return run
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", block: int = 256) -> DataFrame:
@@ -168,6 +212,7 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     input row. A null, empty or blank text has the share of label 1 among the
     labelled as its score and 0 as ``nearest``. Other columns are not read.
     """
+    texts_to_python(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)[id_col]
 
