@@ -16,7 +16,7 @@ from .packing import pack
 from .quality import learn_quality, score_quality
 from .shared import id_bucket
 from .token_counts import count_tokens
-from .url_reputation import Rule, judge_urls
+from .url_reputation import Reputation, Rule, host_and_path, judge_urls
 from .vector_join import near_vectors
 
 
@@ -171,18 +171,24 @@ URL_RULES = [
     Rule("example.net", "/de/8", "block"),
     Rule("org", "/es/", "block"),
 ]
-#: Runs of decoration that mark junk pages.
-JUNK_MARKS = r"[*]{3}|[$]{3}|[#]{3}|[%]{3}|!!"
+#: One standard deviation below the posterior mean must exceed the share of bad pages among all.
+URL_REPUTATION = Reputation(z=1.0)
 
 
-def junk_page(html: Column) -> Column:
-    """A page's outcome, from its markup: more than one junk mark to five spaces; null without markup."""
-    marks = F.regexp_count(html, F.lit(JUNK_MARKS))
-    return 5 * marks > F.length(html) - F.length(F.replace(html, F.lit(" "), F.lit("")))
+def document_of(url: Column) -> Column:
+    """The id of a page's document: the number that ends the url's path, before ``.html`` or a slash."""
+    return F.regexp_extract(host_and_path(url)[1], r"/([0-9]{1,18})(\.html)?/?$", 1).try_cast("long")
+
+
+def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """Urls of labelled pages: bad where the page's document has quality 0 (of several labels the least)."""
+    quality = labels.filter("quality IS NOT NULL").groupBy(F.col("doc_id").alias("doc_")).agg((F.min("quality") == 0).alias("bad"))
+    return pages.select("url", document_of(F.col("url")).alias("doc_")).join(quality, "doc_").select("url", "bad")
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(read(spark, sf_dir, "pages"), junk_page(F.col("html")), URL_RULES)
+    pages = read(spark, sf_dir, "pages")
+    return judge_urls(pages, page_outcomes(pages, read(spark, sf_dir, "labels")), URL_RULES, URL_REPUTATION)
 
 
 def _level_sql(name: str, source: str, mean: str) -> str:
@@ -191,21 +197,23 @@ def _level_sql(name: str, source: str, mean: str) -> str:
       SELECT count(*) AS k, sum(n)::DOUBLE AS n, sum(n * n)::DOUBLE AS nn,
         sum(n * pow(x / n - {mean}, 2)) AS s, sum(n * {mean} * (1 - {mean})) AS v FROM {source} WHERE n > 0),
     {name}_overlap AS (
-      SELECT CASE WHEN coalesce(v, 0) = 0 THEN 0.0001 ELSE least(greatest(
-        CASE WHEN n - nn / n - (k - 1) > 0 THEN (s / (v / n) - (k - 1)) / (n - nn / n - (k - 1)) ELSE 0 END, 0.0001), 0.9999) END AS r FROM {name}_sums),
+      SELECT CASE WHEN coalesce(v, 0) = 0 THEN 1 / 11 ELSE least(greatest(
+        CASE WHEN n - nn / n - (k - 1) > 0 THEN (s / (v / n) - (k - 1)) / (n - nn / n - (k - 1)) ELSE 0 END, 1 / 11), 0.9999) END AS r FROM {name}_sums),
     {name}_strength AS (SELECT (1 - r) / r AS w FROM {name}_overlap)"""
 
 
 OP9_SQL = f"""
 WITH cut AS (
-  SELECT page_id, html, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-raw AS (SELECT page_id, html, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM cut),
+  SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+raw AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM cut),
 urls AS (
   SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path,
-    5 * len(regexp_extract_all(html, '{JUNK_MARKS}')) > length(html) - length(replace(html, ' ', '')) AS bad FROM raw),
+    regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM raw),
+labelled AS (
+  SELECT host, bad FROM (SELECT host, try_cast(regexp_extract(path, '/([0-9]{{1,18}})([.]html)?/?$', 1) AS BIGINT) AS doc_id FROM urls)
+  JOIN (SELECT doc_id, min(quality) = 0 AS bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id)),
 hosts AS (
-  SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad::INT), 0)::DOUBLE AS x, string_split(host, '.') AS parts FROM urls WHERE host <> '' GROUP BY host),
+  SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad::INT), 0)::DOUBLE AS x, string_split(host, '.') AS parts FROM labelled WHERE host <> '' GROUP BY host),
 named AS (
   SELECT host, n, x, parts[-1] AS suffix, CASE WHEN len(parts) > 1 THEN parts[-2] || '.' || parts[-1] ELSE host END AS domain FROM hosts),
 suffixes AS (
@@ -219,7 +227,8 @@ domain_means AS (SELECT domain, (x + w * suffix_mean) / (n + w) AS domain_mean F
 host_means AS (SELECT host, n, x, domain_mean FROM named JOIN domain_means USING (domain)),
 {_level_sql("host", "host_means", "domain_mean")},
 shapes AS (SELECT host, x + w * domain_mean AS a, n - x + w * (1 - domain_mean) AS b FROM host_means, host_strength),
-blocked AS (SELECT host, a / (a + b) - 2 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5 AS blocked FROM shapes),
+blocked AS (
+  SELECT host, a / (a + b) - sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > (SELECT sum(x) / sum(n) FROM named) AS blocked FROM shapes),
 ruled AS (
   SELECT u.page_id, u.host, u.path, CASE
     WHEN (u.host = 'example.net' OR u.host LIKE '%.example.net') AND starts_with(u.path, '/de/8') THEN 'example.net/de/8'

@@ -1,10 +1,10 @@
 """URL filters: rules by host and path, and empirical-Bayes host reputation.
 
-Labelled page outcomes are pooled by host, registered domain (the last two
-labels of a host) and suffix (the last label). At each level a beta-binomial
-prior is centred on the level above, with a strength found by the method of
-moments from how much the groups differ; a host is blocked if even the lower
-bound of its posterior share of bad pages is too high. DataFrame functions only.
+Labelled page outcomes are pooled by host, registered domain and suffix. At each
+level a beta-binomial prior is centred on the level above, with a strength found
+by the method of moments from how much the groups differ; a host is blocked if
+even the lower bound of its posterior share of bad pages is too high. DataFrame
+functions only.
 """
 
 from __future__ import annotations
@@ -34,12 +34,20 @@ class Rule:
 
 @dataclass(frozen=True)
 class Reputation:
-    """``z`` standard deviations below the posterior mean must exceed ``limit`` to block."""
+    """``z`` standard deviations below the posterior mean must exceed ``limit`` to block.
 
-    limit: float = 0.5
+    Without a limit it is the share of bad pages among all that are labelled. A
+    prior weighs as much as ``(1 - r) / r`` labelled pages, for an overlap ``r``
+    between these bounds: ten pages at most, so that a host's own pages count
+    also where groups hardly differ. ``suffixes`` has suffixes of several
+    labels, such as ``co.uk``; all others are a host's last label.
+    """
+
+    limit: float | None = None
     z: float = 2.0
-    least_overlap: float = 0.0001
+    least_overlap: float = 1 / 11
     most_overlap: float = 0.9999
+    suffixes: tuple[str, ...] = ()
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -65,6 +73,22 @@ def fitting_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
     return text, verdict
 
 
+def suffix_and_domain(host: Column, suffixes: tuple[str, ...] = ()) -> tuple[Column, Column]:
+    """Suffix and registered domain: the suffix and one label more. User and port are left out.
+
+    The longest of ``suffixes`` that fits, else the last label. A numeric address
+    is its own domain and suffix, and so is a host that is a suffix.
+    """
+    bare = F.regexp_replace(host, r"^.*@|:[0-9]*$", "")
+    labels = F.split(bare, r"\.", -1)
+    suffix = F.element_at(labels, -1)
+    for s in sorted(suffixes, key=len):
+        suffix = F.when((bare == s) | bare.endswith("." + s), s).otherwise(suffix)
+    suffix = F.when(bare.rlike(r"^[0-9]+(\.[0-9]+){3}$|^\["), bare).otherwise(suffix)
+    front = F.substring(bare, F.lit(1), F.length(bare) - F.length(suffix) - 1)
+    return suffix, F.when(bare == suffix, bare).otherwise(F.concat_ws(".", F.substring_index(front, ".", -1), suffix))
+
+
 def _overlap(groups: DataFrame, mean: str, settings: Reputation) -> float:
     """Intra-group correlation of outcomes about ``mean``, by moments; a prior's strength is (1 - r) / r."""
     m = F.col(mean)
@@ -92,12 +116,8 @@ def host_reputation(pages: DataFrame, host_col: str, bad_col: str, settings: Rep
     hosts = pages.filter(F.col(host_col).isNotNull()).groupBy(F.col(host_col).alias("host")).agg(
         F.count(bad_col).alias("n"), F.coalesce(F.sum(F.col(bad_col).cast("long")), F.lit(0)).alias("x")
     )
-    labels = F.split(F.col("host"), r"\.", -1)
-    size = F.size(labels)
-    hosts = hosts.withColumns({
-        "suffix": F.element_at(labels, -1),
-        "domain": F.when(size > 1, F.concat_ws(".", F.element_at(labels, F.greatest(size - 1, F.lit(1))), F.element_at(labels, -1))).otherwise(F.col("host")),
-    })
+    suffix, domain = suffix_and_domain(F.col("host"), settings.suffixes)
+    hosts = hosts.withColumns({"suffix": suffix, "domain": domain})
     # one row a host from here on: the pages are read once for it
     hosts = stored(hosts, "hosts")
     sums = [F.sum("n").alias("n"), F.sum("x").alias("x")]
@@ -105,6 +125,7 @@ def host_reputation(pages: DataFrame, host_col: str, bad_col: str, settings: Rep
     domains = hosts.groupBy("suffix", "domain").agg(*sums)
     total = suffixes.agg(*sums).first()
     base = total.x / total.n if total.n else 0.0
+    limit = base if settings.limit is None else settings.limit
 
     suffixes = suffixes.withColumn("base", F.lit(base))
     strength = _strength(_overlap(suffixes, "base", settings))
@@ -118,7 +139,7 @@ def host_reputation(pages: DataFrame, host_col: str, bad_col: str, settings: Rep
     b = F.col("n") - F.col("x") + strength * (1 - F.col("domain_mean"))
     mean = a / (a + b)
     bound = mean - F.lit(settings.z) * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return hosts.select("host", "n", "x", mean.alias("posterior_mean"), bound.alias("lower_bound"), (bound > settings.limit).alias("blocked"))
+    return hosts.select("host", "n", "x", mean.alias("posterior_mean"), bound.alias("lower_bound"), (bound > limit).alias("blocked"))
 
 
 def _strength(overlap: float) -> float:
@@ -129,16 +150,16 @@ def _posterior(strength: float, mean: str) -> Column:
     return (F.col("x") + F.lit(strength) * F.col(mean)) / (F.col("n") + F.lit(strength))
 
 
-def judge_urls(pages: DataFrame, bad: Column, rules: list[Rule], settings: Reputation = Reputation(), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], settings: Reputation = Reputation(), id_col: str = "page_id", url_col: str = "url", bad_col: str = "bad") -> DataFrame:
     """Host, path, rule and verdict (``allow`` or ``block``) of every url.
 
-    ``bad`` is an expression over ``pages``: the labelled outcome, or null. The
-    longest fitting rule decides, else the reputation of the host; an empty host
-    has no reputation and is allowed. One row per input row, also for null or
-    repeated ids and urls; columns beside these are not read.
+    ``outcomes`` has urls with a boolean ``bad_col``, or null. The longest
+    fitting rule decides, else the reputation of the host by these outcomes; a
+    host without any, and an empty one, is allowed. One row per row of ``pages``,
+    also for null or repeated ids and urls; columns beside these are not read.
     """
     host, path = host_and_path(F.col(url_col))
-    outcomes = pages.select(host.alias("host"), bad.cast("boolean").alias("bad")).filter("host <> ''")
+    outcomes = outcomes.select(host.alias("host"), F.col(bad_col).cast("boolean").alias("bad")).filter("host <> ''")
     blocked = host_reputation(outcomes, "host", "bad", settings).select("host", "blocked")
     urls = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
