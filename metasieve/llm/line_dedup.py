@@ -83,7 +83,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("doc_"), *[c.alias(f"k{n}") for n, c in key.items()])
     same = F.col("kid_").eqNullSafe(F.col("id_")) & (F.col("kdigest_") == F.col("digest_"))
-    met = kept.join(covered.hint("shuffle_hash"), same, "left")
+    met = kept.join(covered, same, "left")
     whole = F.col(f"doc_.`{text_col}`")
     remove = F.pandas_udf(_removed, "text string, n_lines int, n_removed int")
     met = met.withColumn("cut_", remove(F.when(F.col("starts_").isNotNull(), whole), F.col("starts_")))

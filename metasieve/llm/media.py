@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jpeg
+from .shared import fresh_name, texts_to_python
 
 #: Bytes of payload that are coded together.
 _BATCH = 256 << 10
@@ -55,14 +56,18 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     8x8 block, whose DC value holds one byte. A text beyond 66 MB does not fit a
     JPEG's height and width: its file holds several pictures, one after the other.
     """
+    texts_to_python(docs.sparkSession)
     id_type = dict(docs.dtypes)[id_col]
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return source.mapInArrow(_encode, f"id {id_type}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
-def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+FEATURE_NAMES = [f.split()[0] for f in FEATURES.split(", ")]
+
+
+def _decode(batches: Iterator[pa.RecordBatch], names: list[str] = FEATURE_NAMES) -> Iterator[pa.RecordBatch]:
+    """The columns of each batch, the last of which has the files, with their features."""
     types = [pa.int32()] * 4 + [pa.string(), pa.binary()]
-    names = ["width", "height", "thumb_width", "thumb_height", "thumb_hash", "thumbnail"]
     for b in batches:
         at = 0
         for blobs in _in_batches((m.as_py() for m in b.column(b.num_columns - 1)), lambda m: len(m or b"")):
@@ -102,13 +107,16 @@ def _one(blob: bytes):
 def media_features(media: DataFrame, media_col: str = "media") -> DataFrame:
     """Adds dimensions, a thumbnail hash and the DC-only luminance thumbnail of each file.
 
-    All columns of ``media`` are kept (they must not have the names added:
-    ``width, height, thumb_width, thumb_height, thumb_hash, thumbnail``). A null
-    or unreadable file, or one that is not baseline, gets nulls.
+    All columns of ``media`` are kept. Those added are ``width, height,
+    thumb_width, thumb_height, thumb_hash, thumbnail``, with underscores in front
+    where ``media`` has such a column. A null or unreadable file, or one that is
+    not baseline, gets nulls.
     """
-    kept = [c for c in media.columns if c != media_col]
-    fields = ", ".join(f"`{n}` {t}" for n, t in media.select(*kept, media_col).dtypes)
-    return media.select(*kept, media_col).mapInArrow(_decode, f"{fields}, {FEATURES}")
+    kept = [F.col(f"`{c}`") for c in (*(c for c in media.columns if c != media_col), media_col)]
+    names = [fresh_name(n, media.columns) for n in FEATURE_NAMES]
+    fields = [f"`{n}` {t}" for n, t in media.select(*kept).dtypes]
+    added = [f"`{n}` {f.split()[1]}" for n, f in zip(names, FEATURES.split(", "), strict=True)]
+    return media.select(*kept).mapInArrow(lambda batches: _decode(batches, names), ", ".join([*fields, *added]))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

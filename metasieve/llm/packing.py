@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import texts_to_python
 from .text_codec import coder
 
 
@@ -164,6 +165,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     sequences within its partition, so a repeated task gives the same rows. A
     task holds 512 open windows at most, whatever the lengths.
     """
+    texts_to_python(docs.sparkSession)
     id_type = dict(docs.dtypes)[id_col]
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return source.mapInArrow(_packing(tokenizer_path, capacity, end_id), f"id {id_type}, {PIECES}").withColumnRenamed("id", id_col)

@@ -66,7 +66,7 @@ class ChunkCoder:
     `sentencepiece`. About ``most_kept`` chunks stay in memory.
     """
 
-    def __init__(self, path: str, ids: bool, most_kept: int = 500_000):
+    def __init__(self, path: str, ids: bool, most_kept: int = 100_000):
         self.want_ids, self.most_kept = ids, most_kept
         self.zero = b"" if ids else 0
         self.cut, self.added, self.known = None, [], {}
@@ -159,19 +159,22 @@ def _space_beside_space(text: str) -> bool:
     return text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or "\t" in text or "\r" in text
 
 
+# How the public vocabularies that the table can stand for normalise and cut, whole.
+_LOWER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_WORDS = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
 def _cut_of(spec: dict) -> str | None:
-    """How the tokenizer described by ``spec`` cuts: at words, at spaces, or unknown."""
-    norm, pre = spec.get("normalizer"), spec.get("pre_tokenizer") or {}
-    if norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space"):
+    """How the tokenizer described by ``spec`` cuts: at words, at spaces, or in a way that the library must do."""
+    norm, pre, model = spec.get("normalizer"), dict(spec.get("pre_tokenizer") or {}), spec.get("model") or {}
+    if model.get("type") != "BPE" or model.get("dropout") or model.get("byte_fallback") or model.get("unk_token"):
+        return None
+    steps = pre.get("pretokenizers") or [pre]
+    last = {"type": steps[-1].get("type"), "prefix": steps[-1].get("add_prefix_space"), "regex": steps[-1].get("use_regex", True)}
+    if norm is None and len(steps) == 1 and last == {"type": "ByteLevel", "prefix": False, "regex": True}:
         return "spaces"
-    steps = pre.get("pretokenizers") or []
-    lowers = [n.get("type") for n in (norm or {}).get("normalizers") or []] == ["NFC", "Replace", "Lowercase"]
-    if lowers and len(steps) == 2 and steps[0].get("type") == "Split" and steps[1].get("type") == "ByteLevel":
-        pattern = steps[0].get("pattern", {}).get("Regex", "")
-        matches_kept = steps[0].get("behavior") == "Removed" and steps[0].get("invert")
-        if matches_kept and not steps[1].get("use_regex", True) and not steps[1].get("add_prefix_space") and r"[^\s\p{L}\p{N}]+" in pattern:
-            return "words"
-    return None
+    cuts = steps[:-1] == [_WORDS] and last == {"type": "ByteLevel", "prefix": False, "regex": False}
+    return "words" if cuts and (norm or {}).get("normalizers") == _LOWER else None
 
 
 _CODERS: dict[tuple, ChunkCoder] = {}

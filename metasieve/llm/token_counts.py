@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, stored
+from .shared import broadcast_if_small, discard, fresh_path, stored, texts_to_python
 from .text_codec import coder
 
 CACHE_SCHEMA = "digest binary, tokenizer binary, n_tokens long"
@@ -64,9 +64,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     machines; without ``cache_path`` a new cache is made in the shared folder.
 
     Misses are picked by (digest, id), so a text that fills a third of the table
-    is encoded once and its rows are never gathered in one task.
+    is encoded once and its rows are never gathered in one task. Where the misses
+    number ``MOST_BROADCAST`` at most, as with a warm cache, they are sent to the
+    texts and no text is shuffled.
     """
     spark = docs.sparkSession
+    texts_to_python(spark)
     cache_path = cache_path or fresh_path(spark, "token-counts")
     version = tokenizer_version(tokenizer_path)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -75,10 +78,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
 
     keyed = stored(source.select("id", digest, F.octet_length("text").cast("long").alias("n_bytes")), "digests")
     have = read_cache(spark, cache_path).filter(F.col("tokenizer") == F.lit(version)).select("digest")
-    chosen = keyed.groupBy("digest").agg(F.min("id").alias("id")).join(have, "digest", "left_anti")
+    chosen = stored(keyed.groupBy("digest").agg(F.min("id").alias("id")).join(have, "digest", "left_anti"), "misses")
     texts = source.select("id", "text", digest).alias("t")
     misses = texts.join(
-        chosen.hint("shuffle_hash").alias("c"),
+        broadcast_if_small(chosen).alias("c"),
         (F.col("t.digest") == F.col("c.digest")) & F.col("t.id").eqNullSafe(F.col("c.id")),
         "left_semi",
     ).select("digest", "text")
@@ -87,4 +90,5 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     # written first, so that the join below is one that adaptive execution can split at a hot digest
     counts = read_cache(spark, cache_path).filter(F.col("tokenizer") == F.lit(version)).join(keyed.select("digest").distinct(), "digest", "left_semi")
     counts = stored(counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
+    discard(chosen)
     return keyed.join(counts, "digest").select(F.col("id").alias(id_col), "n_bytes", "digest", "n_tokens")

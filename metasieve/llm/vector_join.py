@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import bounded_share, stored
+from .shared import bounded_rows, stored
 
 #: Vectors of a cell that the number of pivots aims at, vectors of a block, and pivots at most.
 CELL, BLOCK, MOST_PIVOTS = 4096, 2048, 512
@@ -142,7 +142,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id
     n_pivots = min(-(-most // CELL), MOST_PIVOTS)
     pivots = np.zeros((0, 0))
     if n_pivots > 1:
-        got = bounded_share(good.select("row", "vector", "size"), "row", n_pivots).select("vector").collect()
+        got = bounded_rows(good.select("row", "vector", "size"), n_pivots, "row").select("vector").collect()
         size = max({len(v[0]) for v in got}, key=[len(v[0]) for v in got].count, default=0)
         found = [v[0] for v in got if len(v[0]) == size]
         pivots = np.unique(_units(found), axis=0) if found else pivots
