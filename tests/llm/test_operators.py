@@ -1,5 +1,6 @@
 """The operators on small tables with nulls, empty and long texts, ties, repeated rows, extra columns and no rows."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -10,17 +11,18 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from metasieve.llm import ngram_join, shared
 from metasieve.llm.components import connected_components
-from metasieve.llm.language import identify_languages, learn_languages
+from metasieve.llm.language import fit_language_model, identify_languages, learn_languages
 from metasieve.llm.line_dedup import dedup_lines
 from metasieve.llm.media import encode_media, media_digests, media_features, payload_of
 from metasieve.llm.mixing import mix_sources, rake
 from metasieve.llm.ngram_join import jaccard_components
 from metasieve.llm.packing import pack
-from metasieve.llm.quality import learn_quality, score_quality
+from metasieve.llm.quality import Vectors, fit_quality_model, learn_quality, score_quality, score_texts
 from metasieve.llm.queries import URL_RULES, vocabulary
 from metasieve.llm.token_counts import count_tokens, read_cache
-from metasieve.llm.url_reputation import Reputation, host_reputation, judge_urls
+from metasieve.llm.url_reputation import Reputation, host_reputation, judge_urls, suffix_and_domain
 from metasieve.llm.vector_join import near_vectors
 
 from .test_units import plain_shingles
@@ -175,6 +177,104 @@ def test_jaccard(spark, docs, none):
     assert jaccard_components(none).count() == 0
 
 
+def test_one_large_group_of_near_copies(spark, tmp_path_factory):
+    """2,000 near copies of one text, 300 exact ones, many alike but not linked: the joins' rows stay in proportion."""
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(220)]
+    rows = []
+    for _ in range(2000):
+        text = list(base)
+        for _ in range(rng.choice((1, 1, 2, 3, 4, 6))):
+            text[rng.randrange(220)] = f"z{rng.randrange(10**9)}"
+        rows.append(" ".join(text))
+    rows += [" ".join(base)] * 300 + [" ".join(base[:100] + [f"q{rng.randrange(10**9)}" for _ in range(120)]) for _ in range(300)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(6)
+    counted = []
+    plain = ngram_join._pairs
+    ngram_join._pairs = lambda joined, percent, tried: counted.append(plain(joined, percent, []).count()) or plain(joined, percent, tried)
+    try:
+        got = {r.doc_id: r.component_id for r in jaccard_components(df).collect()}
+    finally:
+        ngram_join._pairs = plain
+    assert sum(counted) < 40 * len(rows) and len(counted) >= 2
+    # against all pairs, by a matrix of n-grams
+    sets = [plain_shingles(t) for t in rows]
+    number = {g: i for i, g in enumerate(sorted({g for s in sets for g in s}))}
+    ends = np.cumsum([0, *map(len, sets)])
+    there = sparse_rows(sets, number)
+    sizes = np.diff(ends)
+    group = np.arange(len(rows))
+    links = []
+    for i in range(len(rows)):
+        common = there(i)
+        links.append(np.flatnonzero((sizes > 0) & (100 * common >= 80 * (sizes + sizes[i] - common))))
+    changed = True
+    while changed:
+        low = np.array([group[x].min() if len(x) else group[i] for i, x in enumerate(links)])
+        changed = bool((low != group).any())
+        group = low
+    assert [got[i] for i in range(len(rows))] == group.tolist()
+
+
+def sparse_rows(sets, number):
+    """A function from a set's place to the sizes of its intersections with all sets."""
+    holders = defaultdict(list)
+    for i, s in enumerate(sets):
+        for g in s:
+            holders[number[g]].append(i)
+    holders = {g: np.array(v) for g, v in holders.items()}
+
+    def common(i):
+        out = np.zeros(len(sets), np.int64)
+        for g in sets[i]:
+            out[holders[number[g]]] += 1
+        return out
+
+    return common
+
+
+def test_jaccard_without_broadcasts_and_with_repeated_rows(spark, monkeypatch):
+    """Null and repeated ids with different and with equal texts; sets and texts by shuffles; several rounds of hubs."""
+    monkeypatch.setattr(shared, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(ngram_join, "_PAIRS_AN_ENTRY", 0)
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, t) for k, t in near_copies()]
+    rows += rows[:12]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got.collect()) == plain_components(rows)
+
+
+def test_samples_are_bounded(spark):
+    """One id fills a third of the rows, with one text or with many; others are null."""
+    rows = [(1, f"same id text{i} alpha", "en") for i in range(400)] + [(2, "same text", "de")] * 400 + [(None, "no id here", "fr")] * 200 + [(i, f"t{i} beta gamma", "de") for i in range(10, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    keyed = docs.filter("doc_id IS NOT NULL")
+    assert shared.bounded_rows(keyed, 50, "doc_id", "text").count() == 50
+    assert shared.bounded_rows(keyed, 5000, "doc_id", "text").distinct().count() == 591 == shared.bounded_rows(keyed, 5000, "doc_id", "text").count()
+    model = learn_languages(docs, F.lit(True), sample_docs=100)
+    assert set(model.languages) <= {"en", "de"} and model.gram_rows
+    labels = spark.createDataFrame([(1, 1), (2, 0)] + [(i, i % 2) for i in range(10, 200)], "doc_id long, quality int")
+    assert len(learn_quality(docs, labels, F.lit(True), sample_docs=60).labels) == 60
+    assert len(learn_quality(docs, labels, F.lit(True)).labels) == 192
+    assert len(learn_quality(docs, labels.filter("doc_id = 1"), F.lit(True)).labels) == 1
+
+
+def test_models_equal_those_of_plain_counts(spark, docs):
+    rows = [r for r in awkward() if r[0] is not None and r[1] is not None and r[2] is not None]
+    want = fit_language_model([r[1] for r in sorted({(r[0], r[1], r[2]) for r in rows})], [r[2] for r in sorted({(r[0], r[1], r[2]) for r in rows})])
+    got = learn_languages(docs, F.lit(True))
+    assert got.languages == want.languages and got.gram_rows == want.gram_rows
+    assert np.allclose(got.gram_scores, want.gram_scores) and {k: v.tolist() for k, v in got.scripts.items()} == {k: v.tolist() for k, v in want.scripts.items()}
+    texts = {r[0]: r[1] or "" for r in awkward() if r[0] not in (None, 3)}
+    labels = {k: k % 2 for k in texts}
+    got = learn_quality(docs, spark.createDataFrame(list(labels.items()), "doc_id long, quality int"), F.lit(True), dims=8)
+    order = sorted(texts, key=lambda k: (hashlib.sha256(texts[k].encode()).hexdigest(), labels[k]))
+    want = fit_quality_model([texts[k] for k in order], [labels[k] for k in order], dims=8)
+    assert got.shapes == want.shapes and got.labels.tolist() == want.labels.tolist() and np.allclose(got.weight, want.weight)
+    asked = [r[1] for r in awkward()]
+    assert np.allclose(score_texts(Vectors(got), asked)[0], score_texts(Vectors(want), asked)[0], atol=1e-4)
+
+
 def vectors():
     rng = np.random.default_rng(3)
     rows = []
@@ -216,6 +316,9 @@ def test_media(docs, none):
     assert sorted(bytes(r.thumbnail) for r in rows) == sorted(payload_of(r[1]) for r in awkward())
     digests = media_digests(stored).collect()
     assert sorted(r.tail_crc32 for r in digests) == sorted(zlib.crc32(payload_of(r[1])[-64:]) for r in awkward())
+    clash = media_features(stored.withColumn("width", F.lit("mine")).withColumn("thumbnail", F.lit(1)))
+    assert [n for n in clash.columns if "width" in n] == ["width", "_width", "thumb_width"] or {"width", "_width", "_thumbnail"} <= set(clash.columns)
+    assert sorted(bytes(r._thumbnail) for r in clash.collect()) == sorted(bytes(r.thumbnail) for r in rows)
     assert media_digests(encode_media(none)).count() == 0 and media_features(encode_media(none)).count() == 0
 
 
@@ -265,14 +368,15 @@ def test_line_dedup_of_short_texts(spark):
 def test_urls(spark):
     urls = [None, "", "no scheme", "HTTP://Www.Example.COM/en/7?q#x", "x://example.com/en/8", "x://badexample.com", "x://example.net/de/81", "x://a.example.net/de/9", "x://y.org?/es/", "x://y.org/es/1", "://h://i/j", "x://bad.test/1", "x://com/en/"]
     pages = spark.createDataFrame([(i, u, "host", None) for i, u in enumerate(urls)] + [(3, urls[3], None, None)], "page_id long, url string, host string, rule string")
-    got = {r.page_id: tuple(r)[1:] for r in judge_urls(pages, F.lit(None), URL_RULES).collect()}
+    pages = pages.withColumn("bad", F.lit(None).cast("boolean"))
+    got = {r.page_id: tuple(r)[1:] for r in judge_urls(pages, pages, URL_RULES).collect()}
     assert got[0] == got[1] == got[2] == ("", "", None, "allow")
     assert got[3] == ("www.example.com", "/en/7", "example.com/en/7", "allow")
     assert got[4][2:] == ("com/en/", "block") and got[5][2:] == (None, "allow")
     assert got[6][2:] == ("example.net/de/8", "block") and got[7][2:] == ("net/de/", "allow")
     assert got[8] == ("y.org", "", None, "allow") and got[9][2] == "org/es/" and got[10][:2] == ("h:", "//i/j") and got[12][2] == "com/en/"
-    assert judge_urls(pages, F.lit(None), URL_RULES).count() == len(urls) + 1
-    assert judge_urls(pages.limit(0), F.lit(None), URL_RULES).count() == 0
+    assert judge_urls(pages, pages.limit(0), URL_RULES).count() == len(urls) + 1
+    assert judge_urls(pages.limit(0), pages.limit(0), URL_RULES).count() == 0
 
 
 def test_reputation(spark):
@@ -283,20 +387,40 @@ def test_reputation(spark):
     assert got["tiny.b.com"].posterior_mean < 1 and None not in got
 
 
+def test_reputation_decides(spark):
+    """A url without a rule is blocked by its host's labelled pages, also where one host has a third of all."""
+    labelled = [(f"x://bad.test/{i}", i % 3 != 0) for i in range(60)] + [(f"x://big.test/{i}", i % 10 == 0) for i in range(300)] + [(f"x://h{i}.other/1", i % 10 == 0) for i in range(100)]
+    outcomes = spark.createDataFrame(labelled, "url string, bad boolean")
+    pages = spark.createDataFrame([(1, "x://bad.test/q"), (2, "x://big.test/q"), (3, "x://h5.other/q"), (4, "x://never.seen/q"), (5, "x://bad.test.example.com/en/7")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in judge_urls(pages, outcomes, URL_RULES).collect()}
+    assert got == {1: (None, "block"), 2: (None, "allow"), 3: (None, "allow"), 4: (None, "allow"), 5: ("example.com/en/7", "allow")}
+
+
+def test_suffixes(spark):
+    hosts = ["a.b.co.uk", "co.uk", "b.co.uk:8080", "www.x.com", "x.com", "com", "me@x.com", "10.0.0.1", "10.0.0.1:80", "", "a..b", "[::1]"]
+    suffix, domain = suffix_and_domain(F.col("h"), ("co.uk", "uk.co"))
+    got = {r.h: (r.s, r.d) for r in spark.createDataFrame([(h,) for h in hosts], "h string").select("h", suffix.alias("s"), domain.alias("d")).collect()}
+    assert got["a.b.co.uk"] == got["b.co.uk:8080"] == ("co.uk", "b.co.uk") and got["co.uk"] == ("co.uk", "co.uk")
+    assert got["www.x.com"] == got["x.com"] == got["me@x.com"] == ("com", "x.com") and got["com"] == ("com", "com")
+    assert got["10.0.0.1"] == got["10.0.0.1:80"] == ("10.0.0.1", "10.0.0.1") and got["[::1]"] == ("[::1]", "[::1]") and got[""] == ("", "")
+
+
 def test_raking_meets_targets(spark, docs, none):
     cells = spark.createDataFrame([(s, g, t, 10.0 + 7 * i) for i, (s, g, t) in enumerate(itertools.product("ab", "xyz", "pq"))], "source string, lang string, topic string, tokens double")
     targets = {"source": {"a": 3, "b": 1}, "lang": {"x": 1, "y": 1, "z": 2}, "topic": {"p": 0.3, "q": 0.7, "absent": 5}}
-    rows = rake(cells, ["source", "lang", "topic"], targets, rounds=40).collect()
+    rows = rake(cells, ["source", "lang", "topic"], targets, rounds=8).collect()
+    apart = rake(cells, ["source", "lang", "topic"], targets, rounds=8, together=0).collect()
+    assert {(r.source, r.lang, r.topic): round(r.weight, 9) for r in rows} == {(r.source, r.lang, r.topic): round(r.weight, 9) for r in apart}
     for d, want in (("source", {"a": 0.75, "b": 0.25}), ("lang", {"x": 0.25, "y": 0.25, "z": 0.5}), ("topic", {"p": 0.3, "q": 0.7})):
         for v, share in want.items():
-            assert abs(sum(r.weight for r in rows if r[d] == v) - share) < 1e-6
+            assert abs(sum(r.weight for r in rows if r[d] == v) - share) < 1e-4
     out, names = mix_sources(docs)
     assert out.columns[: len(docs.columns)] == docs.columns and names["topic"] == "_topic" and 0 < out.count() <= len(awkward())
     assert all(0 < r.probability <= 1 for r in out.collect())
-    everything, _ = mix_sources(docs, token_share=1.0)
+    everything, _ = mix_sources(docs, token_share=1.0, rounds=4)
     assert everything.count() == len(awkward())
-    no_b, _ = mix_sources(docs, targets={"source": {"s0": 1}})
-    assert {r.source for r in no_b.collect()} == {"s0"}
+    no_b, names = mix_sources(docs, targets={"source": {"s0": 1}}, rounds=4, tokens=F.col("n_chars"), topic=F.lit("one"))
+    assert {(r.source, r[names["topic"]]) for r in no_b.collect()} == {("s0", "one")}
     assert mix_sources(none)[0].count() == 0
 
 
