@@ -60,7 +60,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = stored(groups.select(F.col(row).alias(first), F.col("component_id").alias(group)), "groups")
     order = F.struct(F.col("id_").isNull(), F.col("id_"), F.col(first))
     firsts = found.join(ids, first).groupBy(F.coalesce("same_", F.col(group).cast("string"))).agg(F.min(order).alias("least_")).select(F.col("least_").getField(first).alias(first))
-    return numbered.join(firsts.hint("shuffle_hash"), F.col(row) == F.col(first)).select(*columns)
+    return numbered.join(firsts, F.col(row) == F.col(first)).select(*columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
