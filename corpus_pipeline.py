@@ -16,7 +16,7 @@ from metasieve.llm.mixing import mix_sources
 from metasieve.llm.ngram_join import jaccard_components
 from metasieve.llm.packing import pack
 from metasieve.llm.queries import packed_digests, vocabulary
-from metasieve.llm.shared import fresh_name, fresh_path, stored
+from metasieve.llm.shared import discard, fresh_name, stored
 
 #: Documents whose language is less sure than this go.
 LEAST_LANGUAGE_SCORE = 0.2
@@ -90,7 +90,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        path = fresh_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.schema(docs.schema).parquet(path)
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
