@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_rows, discard, fresh_name, stored, texts_to_python
+from .shared import bounded_rows, discard, fresh_name, stored, texts_to_python, trimmed
 
 # First code points of Unicode ranges and the script of each, "" for none of its own.
 SCRIPT_RANGES = [
@@ -322,7 +322,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "t
     span = pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("end_word", pa.int32())])
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(span))])
 
-    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def label_all(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         labeller = Labeller(shared.value)
         for texts in columns:
             parts = [pa.array([], kind)]
@@ -331,6 +331,9 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "t
                 parts.append(pa.array([{"lang": g, "score": x, "spans": [{"lang": h, "first_word": i, "end_word": j} for h, i, j in s]} for g, x, s in found], kind))
             yield pa.concat_arrays(parts)
 
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from trimmed(label_all)(columns)
+
     # not to be worked out again where a filter on the result is pushed down
     predict = F.arrow_udf(run, f"lang string, score double, spans {SPANS}").asNondeterministic()
     source = docs.select(*[F.col(f"`{c}`") for c in keep], predict(F.col(f"`{text_col}`")).alias(label))

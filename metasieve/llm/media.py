@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jpeg
-from .shared import fresh_name, texts_to_python
+from .shared import fresh_name, texts_to_python, trimmed
 
 #: Bytes of payload that are coded together.
 _BATCH = 256 << 10
@@ -59,7 +59,7 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts_to_python(docs.sparkSession)
     id_type = dict(docs.dtypes)[id_col]
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(_encode, f"id {id_type}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    return source.mapInArrow(trimmed(_encode), f"id {id_type}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
 FEATURE_NAMES = [f.split()[0] for f in FEATURES.split(", ")]
@@ -141,4 +141,4 @@ def media_digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     id_type = dict(media.dtypes)[id_col]
     out = f"id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     source = media.select(F.col(id_col).alias("id"), "n_bytes", "media")
-    return source.mapInArrow(_digests, out).withColumnRenamed("id", id_col)
+    return source.mapInArrow(trimmed(_digests), out).withColumnRenamed("id", id_col)

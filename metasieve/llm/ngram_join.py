@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import broadcast_if_small, discard, stored, texts_to_python
+from .shared import broadcast_if_small, discard, stored, texts_to_python, trimmed
 
 #: Buckets of the n-gram count table, and buckets in one row of it.
 BUCKETS, CHUNK = 1 << 22, 1 << 16
@@ -183,7 +183,7 @@ def frequency_ranks(texts: DataFrame, n: int) -> np.ndarray:
     the order of tokens but not the result.
     """
     schema = "chunk int, counts binary"
-    sums = texts.mapInArrow(_counting(n), schema).repartition(BUCKETS // CHUNK, "chunk").mapInArrow(_add_chunks, schema)
+    sums = texts.mapInArrow(trimmed(_counting(n)), schema).repartition(BUCKETS // CHUNK, "chunk").mapInArrow(_add_chunks, schema)
     rank = np.zeros(BUCKETS, np.uint8)
     for k, c in sums.collect():
         rank[k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(c, np.uint8)
@@ -292,7 +292,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ends_x, ends_y = (broadcast_if_small(ends.withColumnRenamed("cls", c)) for c in _PAIR)
     x, y = x.join(ends_x, "x", "left_semi"), y.join(ends_y, "y", "left_semi")
     both = pairs.join(x, "x").join(y, "y").select(*_ROOTED, "x_tokens", "y_tokens")
-    found = stored(both.mapInArrow(_verifying(percent), "x long, y long, x_root long, y_root long"), "found")
+    found = stored(both.mapInArrow(trimmed(_verifying(percent)), "x long, y long, x_root long, y_root long"), "found")
     discard(ends)
     return found
 
@@ -318,7 +318,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     ranks = spark.sparkContext.broadcast(frequency_ranks(source.select("text"), n))
 
     schema = f"id {id_type}, digest long, n long, h1 long, h2 long, tokens array<long>"
-    prefixed = stored(source.mapInArrow(_prefixing(n, percent, ranks), schema), "prefixes")
+    prefixed = stored(source.mapInArrow(trimmed(_prefixing(n, percent, ranks)), schema), "prefixes")
     by_set = prefixed.filter("n > 0").groupBy("h1", "h2").agg(F.min(F.struct(F.col("id").isNull(), "id", "digest")).alias("least"), F.count("*").alias("rows"))
     classes = stored(by_set.select(F.monotonically_increasing_id().alias("cls"), "h1", "h2", "least.id", "least.digest", "rows"), "classes")
 
@@ -333,7 +333,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     wanted = stored(classes.join(shared_entries.select("cls").distinct(), "cls", "left_semi").select("cls", F.col("id").alias("wanted_id"), F.col("digest").alias("wanted")), "wanted")
     meets = (F.col("digest") == F.col("wanted")) & F.col("id").eqNullSafe(F.col("wanted_id"))
     texts = source.join(broadcast_if_small(wanted), meets).select("text", "cls")
-    sets = stored(texts.mapInArrow(_collecting(n, ranks), "cls long, tokens array<long>"), "sets")
+    sets = stored(texts.mapInArrow(trimmed(_collecting(n, ranks)), "cls long, tokens array<long>"), "sets")
     if sets.count() > wanted.count():  # rows with one id and text, in several tasks
         sets = stored(sets.dropDuplicates(["cls"]), "sets")
 

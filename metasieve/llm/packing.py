@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import texts_to_python
-from .text_codec import coder
+from .shared import texts_to_python, trimmed
+from .text_codec import ChunkCoder
 
 
 class Packer:
@@ -116,7 +116,7 @@ def _packing(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        c, packer = coder(path, ids=True), Packer(capacity)
+        c, packer = ChunkCoder(path, ids=True), Packer(capacity)
         sequence = TaskContext.get().partitionId() << 36
         rows, held, id_type = [], 0, pa.int64()
 
@@ -168,4 +168,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     texts_to_python(docs.sparkSession)
     id_type = dict(docs.dtypes)[id_col]
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(_packing(tokenizer_path, capacity, end_id), f"id {id_type}, {PIECES}").withColumnRenamed("id", id_col)
+    return source.mapInArrow(trimmed(_packing(tokenizer_path, capacity, end_id)), f"id {id_type}, {PIECES}").withColumnRenamed("id", id_col)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_rows, discard, stored, texts_to_python
+from .shared import bounded_rows, discard, stored, texts_to_python, trimmed
 
 _RUNS = re.compile(r"(.)\1+")
 _CLASS = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" + "bcdefghijklmnopqrstuvwxyz", "A" * 26 + "0" * 10 + "a" * 25)
@@ -225,4 +225,4 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64()), pa.array(nearest, pa.float64())], names=["id", "score", "nearest"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"id {kind}, score double, nearest double").withColumnRenamed("id", id_col)
+    return source.mapInArrow(trimmed(run), f"id {kind}, score double, nearest double").withColumnRenamed("id", id_col)

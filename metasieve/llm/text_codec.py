@@ -175,14 +175,3 @@ def _cut_of(spec: dict) -> str | None:
         return "spaces"
     cuts = steps[:-1] == [_WORDS] and last == {"type": "ByteLevel", "prefix": False, "regex": False}
     return "words" if cuts and (norm or {}).get("normalizers") == _LOWER else None
-
-
-_CODERS: dict[tuple, ChunkCoder] = {}
-
-
-def coder(path: str, ids: bool) -> ChunkCoder:
-    """This process's coder for ``path``, kept between tasks."""
-    key = (path, ids)
-    if key not in _CODERS:
-        _CODERS[key] = ChunkCoder(path, ids)
-    return _CODERS[key]

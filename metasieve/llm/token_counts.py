@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if_small, discard, fresh_path, stored, texts_to_python
-from .text_codec import coder
+from .shared import broadcast_if_small, discard, fresh_path, stored, texts_to_python, trimmed
+from .text_codec import ChunkCoder
 
 CACHE_SCHEMA = "digest binary, tokenizer binary, n_tokens long"
 
@@ -46,7 +46,7 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
 
 def _encoder(path: str, version: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(path, ids=False)
+        c = ChunkCoder(path, ids=False)
         for b in batches:
             counts = pa.array(list(c.encode(b.column(1).to_pylist())), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([version] * b.num_rows, pa.binary()), counts], names=["digest", "tokenizer", "n_tokens"])
@@ -85,7 +85,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
         (F.col("t.digest") == F.col("c.digest")) & F.col("t.id").eqNullSafe(F.col("c.id")),
         "left_semi",
     ).select("digest", "text")
-    misses.mapInArrow(_encoder(tokenizer_path, version), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    misses.mapInArrow(trimmed(_encoder(tokenizer_path, version)), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
 
     # written first, so that the join below is one that adaptive execution can split at a hot digest
     counts = read_cache(spark, cache_path).filter(F.col("tokenizer") == F.lit(version)).join(keyed.select("digest").distinct(), "digest", "left_semi")
