@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, fresh_name, stored
+from .shared import MOST_BROADCAST, discard, fresh_name, stored
 
 WINDOW = 3
 
@@ -83,7 +83,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("doc_"), *[c.alias(f"k{n}") for n, c in key.items()])
     same = F.col("kid_").eqNullSafe(F.col("id_")) & (F.col("kdigest_") == F.col("digest_"))
-    met = kept.join(covered, same, "left")
+    # documents with covered lines are sent to the texts if they and their places are few, counted; else a join shuffles both
+    n_places = covered.agg(F.sum(F.size("starts_"))).first()[0] or 0
+    met = kept.join(F.broadcast(covered) if n_places <= MOST_BROADCAST else covered, same, "left")
     whole = F.col(f"doc_.`{text_col}`")
     remove = F.pandas_udf(_removed, "text string, n_lines int, n_removed int")
     met = met.withColumn("cut_", remove(F.when(F.col("starts_").isNotNull(), whole), F.col("starts_")))
