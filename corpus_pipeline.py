@@ -16,7 +16,7 @@ from metasieve.llm.mixing import mix_sources
 from metasieve.llm.ngram_join import jaccard_components
 from metasieve.llm.packing import pack
 from metasieve.llm.queries import packed_digests, vocabulary
-from metasieve.llm.shared import discard, fresh_name, stored
+from metasieve.llm.shared import broadcast_if_small, discard, fresh_name, stored
 
 #: Documents whose language is less sure than this go.
 LEAST_LANGUAGE_SCORE = 0.2
@@ -60,7 +60,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = stored(groups.select(F.col(row).alias(first), F.col("component_id").alias(group)), "groups")
     order = F.struct(F.col("id_").isNull(), F.col("id_"), F.col(first))
     firsts = found.join(ids, first).groupBy(F.coalesce("same_", F.col(group).cast("string"))).agg(F.min(order).alias("least_")).select(F.col("least_").getField(first).alias(first))
-    return numbered.join(firsts, F.col(row) == F.col(first)).select(*columns)
+    kept = stored(firsts, "firsts")
+    return numbered.join(broadcast_if_small(kept), F.col(row) == F.col(first), "left_semi").select(*columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
