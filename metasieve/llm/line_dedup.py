@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import MOST_BROADCAST, discard, fresh_name, stored
+from .shared import MOST_BROADCAST, discard, fresh_name, stored, texts_to_python, trimmed
 
 WINDOW = 3
 
@@ -44,9 +46,17 @@ def remove_covered(text: str, starts: list[int]) -> tuple[str, int, int]:
     return "\n".join(kept), n, sum(p < n for p in covered)
 
 
-def _removed(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
-    found = [(None, None, None) if t is None or s is None else remove_covered(t, s) for t, s in zip(texts, starts, strict=True)]
-    return pd.DataFrame(found, columns=["text", "n_lines", "n_removed"]).astype({"n_lines": "Int32", "n_removed": "Int32"})
+_CUT = pa.struct([("text", pa.string()), ("n_lines", pa.int32()), ("n_removed", pa.int32())])
+
+
+def _removed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for texts, starts in batches:
+        found = [None if t is None or s is None else remove_covered(t, s) for t, s in zip(texts.to_pylist(), starts.to_pylist(), strict=True)]
+        yield pa.array([x and dict(zip(_CUT.names, x, strict=True)) for x in found], _CUT)
+
+
+def _remove(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    yield from trimmed(_removed)(batches)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_texts: bool = False) -> tuple[DataFrame, dict[str, str]]:
@@ -68,6 +78,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The first occurrence of a window is found before the shuffle as far as it
     can be, and occurrences meet it in a join that adaptive execution can split.
     """
+    texts_to_python(docs.sparkSession)
     names = {n: fresh_name(n, docs.columns) for n in ("n_lines", "n_removed")}
     own, text = docs.columns, F.col(f"`{text_col}`")
     key = {"id_": F.col(f"`{id_col}`"), "digest_": F.unhex(F.md5(F.coalesce(text, F.lit(""))))}
@@ -87,7 +98,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_places = covered.agg(F.sum(F.size("starts_"))).first()[0] or 0
     met = kept.join(F.broadcast(covered) if n_places <= MOST_BROADCAST else covered, same, "left")
     whole = F.col(f"doc_.`{text_col}`")
-    remove = F.pandas_udf(_removed, "text string, n_lines int, n_removed int")
+    # not to be worked out again, by a second worker of the task, where a filter on the result is pushed down
+    remove = F.arrow_udf(_remove, "text string, n_lines int, n_removed int").asNondeterministic()
     met = met.withColumn("cut_", remove(F.when(F.col("starts_").isNotNull(), whole), F.col("starts_")))
     columns = [(F.coalesce(F.col("cut_.text"), whole) if c == text_col else F.col(f"doc_.`{c}`")).alias(c) for c in own]
     n_lines = F.coalesce(F.col("cut_.n_lines"), F.size(_lines(whole)), F.lit(0))

@@ -47,6 +47,14 @@ def test_emptied_documents_go(spark):
     assert out == {0: ("a\nb\nc", 5), 2: ("x\ny", 3), 3: ("a\nb", 3)}
 
 
+def test_texts_go_to_one_worker_a_task(spark):
+    """A filter on what Python returns is not pushed down to a second call of it."""
+    docs = spark.createDataFrame([(0, "a\nb\nc", 5), (1, "a\nb\nc", 5)], "doc_id long, text string, n_chars long")
+    out = corpus_pipeline.remove_lines(spark, docs, "")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert [tuple(r) for r in out.collect()] == [(0, "a\nb\nc", 5)]
+
+
 def test_near_copies_without_ids_or_with_repeated_ones_go(spark):
     text = [f"w{i}" for i in range(60)]
     near = [" ".join([*text[:59], f"z{i}"]) for i in range(4)]
