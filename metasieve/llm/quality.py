@@ -184,7 +184,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col:
     found = texts.mapInArrow(_count_rows(shapes, n_words), "label int, digest string, counts binary").collect()
     discard(texts)
     found.sort(key=lambda r: (r.digest, r.label))
-    counts = np.array([np.frombuffer(r.counts, np.float32) for r in found]).reshape(len(found), -1)
+    counts = np.array([np.frombuffer(r.counts, np.float32) for r in found]).reshape(len(found), unfitted(shapes, n_words).n_terms)
     return model_of_counts(shapes, counts, [r.label for r in found], dims, neighbours, sharpness, n_words)
 
 

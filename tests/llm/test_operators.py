@@ -134,6 +134,12 @@ def test_quality(spark, docs, none):
     assert score_quality(none, model).count() == 0
 
 
+def test_quality_of_labels_without_documents(spark, docs):
+    labels = spark.createDataFrame([(-5, 1), (-7, 0)], "doc_id long, quality int")
+    model = learn_quality(docs, labels, F.lit(True))
+    assert {(r.score, r.nearest) for r in score_quality(docs, model).collect()} == {(0.5, 0.0)}
+
+
 def plain_components(rows):
     sets = [plain_shingles(t or "") for _, t in rows]
     group = list(range(len(rows)))
