@@ -13,9 +13,12 @@ import json
 import os
 import re
 import struct
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space, ASCII and precomposed Latin letters: unchanged by NFC, with the
 #: same classes and lower case in every engine (U+0130 is left out).
@@ -30,7 +33,20 @@ _PIECES = {
     "words": re.compile(rf"{_SHORT}|{_L}+|{_N}|{_OTHER}"),
     "spaces": re.compile(rf"{_SHORT}| ?{_L}+| ?{_N}+| ?{_OTHER}|\s+(?!\S)|\s+"),
 }
+
+
+def _no_letters() -> str:
+    """What of a lower-cased text is no word of letters, within those characters: the pattern in Arrow's syntax."""
+    inside = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x180))]
+    numbers = [c for c in inside if re.match(_N, c)]
+    others = [c for c in inside if not re.match(_L, c) and c not in numbers]
+    return rf"({_SHORT}|[{re.escape(''.join(numbers))}]|[{re.escape(''.join(others))}]+)"
+
+
+_NO_LETTERS = _no_letters()
 _LONGEST_KEPT = 48
+#: Texts whose distinct pieces are looked up together have so many characters at most, unless it is one text.
+_GROUP_CHARS = 1 << 20
 
 
 class _Known(dict):
@@ -59,6 +75,32 @@ class _Known(dict):
         return value
 
 
+class _Words(_Known):
+    """Ids of the pieces of lower-cased texts; those used again stay when it is thinned."""
+
+    def __init__(self, bpe):
+        super().__init__(bpe, "words", True)
+        self.used = Counter()
+
+    def __missing__(self, k: str) -> bytes:
+        value = self.piece(k if k.isascii() else _mapped(k))
+        if len(k) <= _LONGEST_KEPT:
+            self[k] = value
+        return value
+
+    def count(self, pieces: Iterable[str], uses: Iterable[int]) -> None:
+        self.used.update({k: n for k, n in zip(pieces, uses, strict=True) if k in self})
+
+    def thin(self, most: int) -> None:
+        """Keeps the ``most`` pieces used most at most; uses so far count half from now on."""
+        uses = np.fromiter(self.used.values(), np.int64, len(self.used))
+        least = int(np.partition(uses, -most - 1)[-most - 1]) if len(uses) > most else 0
+        self.used = Counter({k: n // 2 for k, n in self.used.items() if n > least})
+        kept = [(k, self[k]) for k in self.used]
+        self.clear()
+        self.update(kept)
+
+
 class ChunkCoder:
     """Token ids (``<u4`` bytes) or token counts of whole texts.
 
@@ -85,7 +127,7 @@ class ChunkCoder:
             spec = json.load(f)
         self.added = [t["content"].lower() for t in spec.get("added_tokens") or []]
         if (cut := _cut_of(spec)) is not None:
-            self.cut, self.known = cut, _Known(self.model.model, cut, ids)
+            self.cut, self.known = cut, _Words(self.model.model) if ids and cut == "words" else _Known(self.model.model, cut, ids)
 
     def _library(self, texts: list[str]) -> list[object]:
         if hasattr(self.model, "encode_batch_fast"):
@@ -113,8 +155,37 @@ class ChunkCoder:
         parts[0] = "\0" + parts[0]
         return parts
 
+    def _by_words(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of texts, in order; each distinct piece of them is looked up once."""
+        if len(self.known) > self.most_kept:
+            self.known.thin(self.most_kept // 2)
+        lows = [t.lower() if _inside(t) else None for t in texts]
+        lows = [None if t is None or any(s in t for s in self.added) else t for t in lows]
+        # letters are pieces by themselves once all else stands apart; the white space left is ASCII
+        apart = pc.replace_substring_regex(pa.array(lows, pa.large_string()), pattern=_NO_LETTERS, replacement=r" \1 ")
+        cut = pc.ascii_split_whitespace(apart)
+        pieces = cut.flatten().dictionary_encode()
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False)
+        values = pa.array(list(map(self.known.__getitem__, distinct)), pa.large_binary())
+        uses = np.bincount(pieces.indices.to_numpy(), minlength=len(distinct))
+        self.known.count(distinct[uses > 1], uses[uses > 1].tolist())
+        ids = values.take(pieces.indices)
+        at = np.frombuffer(ids.buffers()[1], np.int64)[cut.offsets.to_numpy()].tolist() if len(ids) else [0] * (len(texts) + 1)
+        whole = memoryview(ids.buffers()[2] or b"")
+        for text, low, start, end in zip(texts, lows, at, at[1:], strict=False):
+            yield whole[start:end].tobytes() if low is not None else self._library([text])[0]
+
     def encode(self, texts: list[str]) -> Iterator[object]:
         """One value a text, in order."""
+        if isinstance(self.known, _Words):
+            first, size = 0, 0
+            for i, text in enumerate(texts):
+                if size and size + len(text) > _GROUP_CHARS:
+                    yield from self._by_words(texts[first:i])
+                    first, size = i, 0
+                size += len(text)
+            yield from self._by_words(texts[first:])
+            return
         for text in texts:
             if len(self.known) > self.most_kept:
                 self.known.clear()

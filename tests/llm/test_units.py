@@ -33,6 +33,40 @@ def test_coder_equals_library(name):
     assert list(counts.encode(texts)) == [len(w) for w in want]
 
 
+def test_words_used_again_are_encoded_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path, rng, calls = vocabulary("word_bpe_49k.json"), random.Random(3), []
+    words = list(dict.fromkeys("".join(rng.choice("abcdeéßſ") for _ in range(9)) for _ in range(4100)))[:4030]
+    often, once = words[:30], words[30:]
+    texts = [" ".join([*often, *(w + "., "[i % 3] for i, w in enumerate(once[at : at + 100])), *often]) + "'s 日"[: at // 100 % 5] for at in range(0, 4000, 100)]
+    library = Tokenizer.from_file(path)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    coder = ChunkCoder(path, True, most_kept=300)
+    encode = coder.known.piece
+    monkeypatch.setattr(coder.known, "piece", lambda k: calls.append(k) or encode(k))
+    for at in range(0, len(texts), 4):
+        assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts[at : at + 4])] == want[at : at + 4]
+    calls = [k for k in calls if len(k) >= 9]
+    assert len(calls) == len(set(calls)) > 3000
+    assert len(coder.known) <= 300 + 4 * 150
+
+
+@pytest.mark.parametrize("most", [1, 60, 1 << 20])
+def test_coder_in_groups_equals_library(monkeypatch, most):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr("metasieve.llm.text_codec._GROUP_CHARS", most)
+    rng = random.Random(4)
+    inside = [chr(c) for c in (9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x180))]
+    texts = ["".join(rng.choice(inside) for _ in range(rng.randint(0, 60))) for _ in range(800)]
+    texts += ["", " ", "\n\n", "日", "", "a" * 100 + " " + "." * 100, "it''s 'll'd can't''re 12a3 ²x½", " 'S\t<|endoftext|>", ""]
+    library = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    coder = ChunkCoder(vocabulary("word_bpe_49k.json"), True, most_kept=20)
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert list(coder.encode([])) == []
+
+
 def test_only_known_patterns_are_cut_by_the_table():
     import json
 
